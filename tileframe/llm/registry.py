@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality, secrets
 
 QUERIES = {
     "op3_source_mix": mixing.op3_source_mix,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op7_secret_scan": secrets.op7_secret_scan,
 }
 
 ORACLE_SQL = {
     "op3_source_mix": mixing.OP3_SQL,
+    "op4_quality_rules": quality.OP4_SQL,
 }
