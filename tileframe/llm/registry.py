@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, metric_tree, mixing, pieces, quality, secrets, toxicity
+from . import jaccard_join, langid, metric_tree, mixing, pieces, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
