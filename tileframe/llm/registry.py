@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, langid, metric_tree, mixing, pieces, quality, secrets, toxicity
+from . import backoff, jaccard_join, langid, metric_tree, mixing, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+    "op2_backoff_score": backoff.op2_backoff_score,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_backoff_score": backoff.OP2_SQL,
     "op3_source_mix": mixing.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op8_top_scores": metric_tree.OP8_SQL,
