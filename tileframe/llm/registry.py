@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backoff, jaccard_join, langid, metric_tree, mixing, pieces, quality, secrets, toxicity
+from . import backoff, jaccard_join, kneser_ney, langid, metric_tree, mixing, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_top_scores": metric_tree.op8_top_scores,
+    "op9_quality_perplexity": kneser_ney.op9_quality_perplexity,
     "op10_piece_codec": pieces.op10_piece_codec,
 }
 
