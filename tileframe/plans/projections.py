@@ -51,7 +51,7 @@ class Catalog:
 
     def _load(self) -> None:
         files, path = self._path("_catalog")
-        if files.exists(path):
+        if files.exists(path) and len(files.listStatus(path)):
             for row in self.spark.read.text(f"{self.root}/_catalog/*").collect():
                 found = json.loads(row["value"])
                 own = Projection(**found | {k: tuple(found[k]) for k in ("vector_columns", "scalar_columns")})

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+QUOTED_EMPTY = "\x01empty\x01"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -39,15 +42,16 @@ def read_csv(spark: SparkSession, path: str, schema, separator: str = ",", skip:
     Files quoted with both characters are read with ``quote="'"`` and
     ``quote='"'`` in turn: Spark takes one.
     """
-    options = {"sep": separator, "quote": quote, "escape": quote, "mode": "FAILFAST", "emptyValue": "", "nullValue": None}
-    options = {k: v for k, v in options.items() if v is not None}
+    # Spark reads an empty string as NULL whether quoted or not, unless it has a name.
+    options = {"sep": separator, "quote": quote, "escape": quote, "mode": "FAILFAST", "emptyValue": QUOTED_EMPTY}
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    named = [F.when(F.col(f.name) == QUOTED_EMPTY, "").otherwise(F.col(f.name)).alias(f.name) if f.dataType == T.StringType() else F.col(f.name) for f in schema]
     if skip <= 1:
-        return spark.read.schema(schema).options(header=skip == 1, enforceSchema=True, **options).csv(path)
+        return spark.read.schema(schema).options(header=skip == 1, enforceSchema=True, **options).csv(path).select(*named)
     # Lines keep their place in the file, so the first ones of each can be told.
-    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where((F.col("at") >= skip) & (F.col("line") != ""))
     parsed = F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), options)
-    return lines.select(parsed.alias("row")).select("row.*")
+    return lines.select(parsed.alias("row")).select("row.*").select(*named)
 
 
 def import_csv(spark: SparkSession, path: str, destination: str, schema, separator: str = ",", skip: int = 0, quote: str = '"') -> int:
