@@ -129,7 +129,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     blocks = max(1, -(-size["n"] // BLOCK_DOCS))
     shards = 1 << max(0, math.ceil(math.log2(max(1, (size["chars"] or 0) * order / 6 / SHARD_KEYS))))
-    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
+    dealt = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(key, frame: pd.DataFrame) -> pd.DataFrame:
         sizes, _, _, keys, counts = _block_grams(frame["text"], order)
@@ -157,7 +157,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     asked = dealt.groupBy("block").applyInPandas(ask, "shard int, block int, n_words long, grams binary")
     added = asked.groupBy("shard").applyInPandas(add, "block int, shard int, totals binary, n_words long")
-    scored = dealt.groupBy("block").cogroup(added.groupBy("block")).applyInPandas(give, "doc_id long, n_words long, log_score double")
+    scored = dealt.groupBy("block").cogroup(added.groupBy("block")).applyInPandas(give, "doc_id string, n_words long, log_score double")
+    scored = scored.withColumn("doc_id", F.col("doc_id").cast("long"))
     return scored.withColumn("mean_log_score", F.col("log_score") / F.nullif("n_words", F.lit(0)))
 
 

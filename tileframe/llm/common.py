@@ -59,6 +59,13 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(n)
 
 
+def set_aside(df: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with every column but the needed ones renamed by place, so that none of
+    their names can clash, and the columns that give the names back."""
+    inner = [c if c in needed else f"_in{k}" for k, c in enumerate(df.columns)]
+    return df.toDF(*inner), [F.col(i).alias(c) for i, c in zip(inner, df.columns, strict=True)]
+
+
 def bare(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns: others, whatever their names, cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

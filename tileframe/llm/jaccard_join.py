@@ -357,14 +357,16 @@ class Join:
         asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         wanted = common.materialize(asked.join(self.sets.select("sid", "doc_id"), "sid"), f"{name}-ids")
         ids = wanted.select("doc_id").distinct()
-        ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+        few = wanted.count() <= BROADCAST_IDS
 
         def whole(batches):
             for batch in batches:
                 found = [shingles(t) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "elements"])
 
-        elements = self.docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(whole, "sid long, elements binary").dropDuplicates(["sid"])
+        ids = ids.withColumnRenamed("doc_id", "_id")
+        ids = F.broadcast(ids) if few else ids.hint("shuffle_hash")
+        elements = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(whole, "sid long, elements binary").dropDuplicates(["sid"])
         elements = common.materialize(elements, f"{name}-sets")
         both = pairs.join(elements.select(F.col("sid").alias("a"), F.col("elements").alias("x")), "a").join(elements.select(F.col("sid").alias("b"), F.col("elements").alias("y")), "b")
         return common.materialize(both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_overlaps, "a long, b long, n_a int, n_b int, overlap int"), name)

@@ -138,9 +138,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixture itself: rows of ``docs``, each as often as it is taken, range-sorted
     by virtual finish time; only the columns of ``docs``."""
     plan = mix(docs).filter("repeats > 0").select(F.col("doc_id").alias("_id"), _source_key(F.col("source")).alias("_source"), F.col("size").alias("_size"), "source_size", "target", "repeats", "finish_words").distinct()
+    inner, names = common.set_aside(docs, "doc_id", "source", "text")
     keys = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (_source_key(F.col("source")) == F.col("_source")) & (common.n_words(F.col("text")) == F.col("_size"))
-    taken = docs.join(plan.hint("shuffle_hash"), keys).withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
-    return taken.orderBy(finish_time(F.col("_epoch")), "doc_id").select(*[docs[c] for c in docs.columns])
+    taken = inner.join(plan.hint("shuffle_hash"), keys).withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
+    return taken.orderBy(finish_time(F.col("_epoch")), "doc_id").select(*names)
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,7 +176,9 @@ def _task_tokenizer(text: str, threads: int):
 
 
 def encode(docs: DataFrame, data: bytes, threads: int = THREADS) -> DataFrame:
-    """Adds ``ids`` (array<int>), ``n_tokens`` and ``round_trip`` to ``docs``."""
+    """Adds ``ids`` (array<int>), ``n_tokens`` and ``round_trip`` to ``docs``, in place of
+    columns of these names."""
+    docs = docs.drop("ids", "n_tokens", "round_trip")
     made = docs.sparkSession.sparkContext.broadcast(build(data).to_str())
     names = docs.columns
     at = names.index("text")

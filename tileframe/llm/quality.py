@@ -159,8 +159,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are measured twice, once for the thresholds and once for the verdict, so that no
     text is shuffled."""
     narrow = common.materialize(measure(common.bare(docs, "doc_id", "lang", "text")).drop("text"), "quality-measures")
-    verdict = judge(measure(docs), certify(narrow, labels))
-    return verdict.filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner, names = common.set_aside(docs, "doc_id", "lang", "text")
+    return judge(measure(inner), certify(narrow, labels)).filter("kept").select(*names)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,9 +198,10 @@ def _matches(rule: Rule, order: int, guard: Column | None) -> Column:
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """Adds ``spans``, array of (start, order, kind, end) by start, then rule."""
+    """Adds ``spans``, array of (start, order, kind, end) by start, then rule, to doc_id,
+    text and columns whose names cannot clash (see ``common.set_aside``)."""
     may = candidates(postings(docs, rules), rules).withColumnRenamed("doc_id", "_id")
-    checked = docs.join(may.hint("shuffle_hash"), docs["doc_id"] == may["_id"], "left").withColumn("_text", F.coalesce("text", F.lit("")))
+    checked = docs.join(may.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(may["_id"]), "left").withColumn("_text", F.coalesce("text", F.lit("")))
     guards = {kind: F.col(f"may_{kind}") for kind in indexed(rules)}
     found = checked.withColumns({f"_{rule.kind}": _matches(rule, k, guards.get(rule.kind)) for k, rule in enumerate(rules)})
     spans = F.array_sort(F.concat(*[F.col(f"_{rule.kind}") for rule in rules]))
@@ -221,10 +222,11 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))
 
     clean = F.when(F.size("spans") > 0, F.aggregate("spans", zero, cover, rest)).otherwise(F.col("text"))
-    scanned = scan(docs).withColumn("text", clean)
+    inner, names = common.set_aside(docs, "doc_id", "text", "n_chars")
+    scanned = scan(inner).withColumn("text", clean)
     if "n_chars" in docs.columns:
         scanned = scanned.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return scanned.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scanned.select(*names)
 
 
 def _written(spans: Column) -> Column:

@@ -39,7 +39,9 @@ CHAIN = 64
 BUCKETS = 1 << 18
 SEED_DOCS = 5
 SEED_ODDS = 30.0
+#: Passes over the training chains, and gradient steps, at least.
 EPOCHS = 4
+STEPS = 200
 BATCH = 256
 HOLDOUT = 5
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -164,7 +166,7 @@ def train(texts: list[str | None], labels: list[int]) -> dict:
         scores = np.append(w[feats].sum(1) + bias, FILLER)
         return scores[np.where(at >= 0, np.append(flat, 0)[at], len(feats))]
 
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(chosen))))):
         rng.shuffle(chosen)
         for k in range(0, len(chosen), BATCH):
             at = places[chosen[k : k + BATCH]]
