@@ -150,3 +150,13 @@ def test_split_tiles_spread_one_key(s):
     packed = tiles.pack(s, [], ["at"], ["at"], split=F.col("at") % 3)
     assert packed.count() == 3
     assert tiles.unnest(packed, ["at"]).count() == 6
+
+
+def test_sql_names(spark):
+    from tileframe.functions import sql_names
+
+    sql_names.register(spark)
+    row = spark.sql("""SELECT betwixt(2, 1, 3), betwixt_text('b', 'a', 'bb'), strict_or(true, NULL), pack_chars('A', 'F'), pack_ints(-7, -1),
+        time_bucket(INTERVAL '2' MINUTE, TIMESTAMP_NTZ'2018-03-12 10:03:59'), time_micros(TIMESTAMP_NTZ'2018-03-12 10:00:00'),
+        date_bucket(7, DATE'1999-12-30'), month_bucket(3, DATE'2018-05-09'), day_number(DATE'2000-02-01')""").first()
+    assert tuple(row) == (True, True, None, 16710, (-7 << 32) | 0xFFFFFFFF, dt.datetime(2018, 3, 12, 10, 2), 574164000000000, dt.date(1999, 12, 25), dt.date(2018, 4, 1), 31)
