@@ -40,6 +40,8 @@ class Catalog:
         self.spark, self.root = spark, root.rstrip("/")
         self.sources: dict[str, str] = {}
         self.projections: dict[str, Projection] = {}
+        #: Counts changes of sources and projections, refreshes among them.
+        self.generation = 0
         self._load()
 
     # The catalog's files go through Hadoop's file systems, like the data.
@@ -61,11 +63,13 @@ class Catalog:
         line = self.spark.createDataFrame([(json.dumps(asdict(projection)),)], "value string")
         line.coalesce(1).write.mode("overwrite").text(f"{self.root}/_catalog/{projection.name}")
         self.projections[projection.name] = projection
+        self.generation += 1
         return projection
 
     def register_source(self, name: str, path: str) -> DataFrame:
         """Names a Parquet table; it becomes a temporary view of the session."""
         self.sources[name] = path
+        self.generation += 1
         rows = self.spark.read.parquet(path)
         rows.createOrReplaceTempView(name)
         return rows
@@ -113,6 +117,7 @@ class Catalog:
         if sort:
             rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
         written = write_counted(rows, f"{self.root}/{name}/{version}")
+        self.generation += 1
         if version != own.version:
             self._store(replace(own, version=version))
             if own.version:
@@ -121,6 +126,7 @@ class Catalog:
 
     def drop_projection(self, name: str) -> None:
         del self.projections[name]
+        self.generation += 1
         self._delete("_catalog", name)
         self._delete(name)
 
