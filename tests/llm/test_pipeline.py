@@ -58,6 +58,6 @@ def test_registered(spark):
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *(f"op{n}_" for n in ())} <= names
+    assert "pipeline" in names
     assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= names
