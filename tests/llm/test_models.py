@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import struct
 
 import numpy as np
@@ -117,6 +118,22 @@ def test_kneser_ney_keeps_the_trusted(spark, odd, no_docs, no_labels):
     assert kneser_ney.classify(no_docs, no_labels).count() == 0
 
 
+def test_kneser_ney_small_languages_have_own_limits(spark):
+    rng = random.Random(5)
+    noise = lambda: " ".join(f"w{rng.randrange(90)}" for _ in range(30))
+    rows = [(k, "en", f"the cat {k % 5} sat on the mat and the dog {k % 7} ran to the house") for k in range(400)]
+    rows += [(1000 + k, None, noise()) for k in range(400)]
+    rows += [(2000 + k, "fr", f"le chat {k % 5} dort") for k in range(20)]
+    rows += [(3000 + k, "en", noise()) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 3000).cast("int").alias("quality"))
+    got = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels).collect()}
+    # The null language's limit, far above that of "en", does not keep its garbled rows.
+    assert not any(got[3000 + k]["kept"] for k in range(20))
+    assert sum(got[1000 + k]["kept"] for k in range(400)) >= 380 and sum(got[k]["kept"] for k in range(400)) >= 380
+    assert [got[d]["limit_from"] for d in (0, 1000, 2000, 3000)] == ["language", "language", "pooled", "language"]
+
+
 # Language identification
 
 
