@@ -134,6 +134,21 @@ def test_kneser_ney_small_languages_have_own_limits(spark):
     assert [got[d]["limit_from"] for d in (0, 1000, 2000, 3000)] == ["language", "language", "pooled", "language"]
 
 
+def test_kneser_ney_sample_is_bounded_in_words(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MAX_GRAMS", 3000)
+    rows = [(k, "en", " ".join(f"e{k}x{j}" for j in range(40 if k else 5000))) for k in range(60)]
+    rows += [(100 + k, "fr", f"le chat {k} dort") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert kneser_ney.classify(docs, labels).filter("perplexity > 0").count() == 80
+    every = docs.withColumn("text", F.when(F.col("doc_id") < 100, "a " * 5000).otherwise(F.col("text")))
+    sample = kneser_ney.training_texts(every, docs.select("doc_id")).collect()
+    n = {lang: sum(len(r["text"].split()) for r in sample if r["lang"] == lang) for lang in ("en", "fr")}
+    # The language with few words is whole, the other one is cut within a text.
+    assert n["fr"] == 80 and 400 <= n["en"] <= 920
+    assert all(r["doc_id"] >= 100 or len(r["text"].split()) < 5000 for r in sample)
+
+
 # Language identification
 
 
