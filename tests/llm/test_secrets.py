@@ -69,6 +69,27 @@ def test_redaction_hides_every_span(docs):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_private_keys_are_masked_whole(spark):
+    lines = ["MIIEpAIBAAKCAQEA7Qm" + "x9/+" * 11] * 5000 + ["Zk3+aQ=="]
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = []
+    for gap in ("\n", "\r\n", " ", "\\n"):
+        for field in ("", fields):
+            texts.append(f"before {begin}{gap}{field}{gap.join(lines)}{gap}{end} after")
+    cut = [f"before {begin}\n{field}" + "\n".join(lines) + "\n\nafter it" for field in ("", fields)]
+    twice = f"{begin}\n{lines[0]}\n{texts[0]}"
+    docs = spark.createDataFrame(list(enumerate([*texts, *cut, twice])), "doc_id long, text string")
+    got = [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert got[: len(texts)] == [f"before {secrets.MASK} after"] * len(texts)
+    assert got[len(texts) : -1] == [f"before {secrets.MASK}\n\nafter it"] * 2
+    assert "MII" not in got[-1] and "x9/+" not in got[-1] and got[-1].endswith(" after")
+    for r in secrets.scan(docs).collect():
+        assert [tuple(s) for s in r["spans"]] == brute(r["text"])
+    header = secrets.trigram_query(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+    assert secrets.trigrams_of(secrets.trigram_query(secrets.PRIVATE_KEY)) == secrets.trigrams_of(header)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]{16,}") == ("and", "aki", "kia")
     assert secrets.trigram_query("[0-9a-f]{24,}") is None

@@ -42,6 +42,16 @@ class Rule:
     least: int = 0
 
 
+#: All from the header to the END line; where another header or no END line follows, the
+#: header's fields and the run of base64 lines (also of written-out line ends). Possessive,
+#: so that long keys need no stack.
+_GAP = r"(?:\s|\\[nr])"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-[^-]++){0,8}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info):\x20?[A-Za-z0-9,-]++)*+"
+    rf"(?:(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:(?:[\r\n]|\\[nr])++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+)?)?)"
+)
 #: Base rules in their fixed order, then those that this scan adds.
 BASE_RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -49,7 +59,7 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("git_token", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
