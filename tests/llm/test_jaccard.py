@@ -120,3 +120,11 @@ def test_components_of_a_path(spark):
 
 def test_common_reads_whole_tables(spark, sf_small):
     assert common.table(spark, sf_small, "documents").count() == 200
+
+
+def test_distinct_documents_with_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(30)) for w in "abcd")
+    rows = [(3, c), (5, a), (5, b), (6, c), (7, a), (8, c), (8, d), (8, d), (None, a), (None, "n " + b), (None, "x y z"), (None, "x y z"), (9, ""), (9, "own text here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in jaccard_join.distinct_documents(docs).collect()))
+    assert got == sorted([(3, c), (5, a), (5, b), (8, d), (0, "x y z"), (9, ""), (9, "own text here"), (0, "")])

@@ -40,6 +40,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common, components
 
@@ -401,11 +402,22 @@ class Join:
         second = self._verified(common.materialize(rest, "jaccard-second"), "jaccard-rest")
         return first_links.unionByName(second.filter(is_link)).select("a", "b", "overlap", "n_a", "n_b")
 
-    def result(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
+    def _rooted(self) -> DataFrame:
+        """sid, smallest (id of its rows), root of every set."""
         roots = components.roots(self.links().select("a", "b"), "jaccard-components")
         smallest = self.own.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("smallest"))
-        rooted = smallest.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        return smallest.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+    def survivors(self) -> DataFrame:
+        """doc_id, sid of one row of each component: the smallest id, null only where there
+        is no other, then the smallest sid. Rows without a set are their own components."""
+        first = F.min(F.struct(F.col("smallest").isNull().alias("lost"), F.col("smallest").alias("doc_id"), "sid"))
+        named = self._rooted().groupBy("root").agg(first.alias("s")).select("s.doc_id", "s.sid")
+        return named.union(self.own.filter("sid IS NULL").select("doc_id", "sid"))
+
+    def result(self) -> DataFrame:
+        """doc_id, n_shingles, component_id of every row."""
+        rooted = self._rooted()
         named = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("sid", "component_id")
         joined = self.own.select("doc_id", "sid", "n").join(named, "sid", "left")
         return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -416,12 +428,44 @@ def classes(docs: DataFrame) -> DataFrame:
     return Join(docs).result()
 
 
+def _with_sid(docs: DataFrame) -> DataFrame:
+    """Adds ``_sid``, the id of the text's set."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            sids = pa.array([set_id(s) if len(s) else None for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sids], [*batch.schema.names, "_sid"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_sid", LongType())]))
+
+
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the smallest id, with the columns of
-    ``docs``; of rows that repeat an id, one."""
-    kept = classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each component, of the smallest id and for that id the smallest set, with
+    the columns of ``docs``. Rows that repeat an id are told apart by their sets: those of
+    different components stay; of rows with the same id and set, one. A row with a null id
+    stays only where its component has no other id, and then one of them; rows with a null
+    id and no words all stay."""
+    inner, names = common.set_aside(docs, "doc_id", "text")
+    join = Join(inner)
+    kept = common.materialize(join.survivors(), "jaccard-kept").select(F.col("doc_id").alias("_kept"), F.col("sid").alias("_of"))
+    repeated = join.own.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).filter("n > 1").select("_id")
+    repeated = common.materialize(repeated, "jaccard-repeated")
+    n_repeated = repeated.count()
+    single = kept.filter("_kept IS NOT NULL")
+    if n_repeated:
+        single = single.join(repeated, single["_kept"] == repeated["_id"], "left_anti")
+    stay = inner.join(single.hint("shuffle_hash"), inner["doc_id"] == single["_kept"], "left_semi")
+    if n_repeated:
+        ids = F.broadcast(repeated) if n_repeated <= BROADCAST_IDS else repeated.hint("shuffle_hash")
+        rows = _with_sid(inner.join(ids, inner["doc_id"] == repeated["_id"], "left_semi"))
+        rows = rows.join(kept, (F.col("doc_id") == F.col("_kept")) & F.col("_sid").eqNullSafe(F.col("_of")), "left_semi")
+        stay = stay.unionByName(rows.dropDuplicates(["doc_id", "_sid"]).drop("_sid"))
+    lost = _with_sid(inner.filter("doc_id IS NULL"))
+    sets = kept.filter("_kept IS NULL AND _of IS NOT NULL")
+    stay = stay.unionByName(lost.filter("_sid IS NULL").drop("_sid"))
+    stay = stay.unionByName(lost.join(sets, F.col("_sid") == F.col("_of"), "left_semi").dropDuplicates(["_sid"]).drop("_sid"))
+    return stay.select(*names)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
