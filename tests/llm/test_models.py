@@ -291,7 +291,8 @@ def unigram_model(squeeze):
     return out + proto(2, 2, trainer) + proto(3, 2, rules)
 
 
-TEXTS = ["", " ", "the cat sat", "  the  cats   sat ing ", "x the cat\nsat\t", "😀 é", "the▁cat", "catcatting" * 40]
+NAMES = ["<s>", "the <s> cat", "</s>", "<unk>", "<0x41>", "x<0x0A>y", "<0x41><0x", "😀<unk>é"]
+TEXTS = [*NAMES, "", " ", "the cat sat", "  the  cats   sat ing ", "x the cat\nsat\t", "😀 é", "the▁cat", "catcatting" * 40]
 
 
 @pytest.mark.parametrize("squeeze", [0, 1])
@@ -301,6 +302,16 @@ def test_unigram_parity(squeeze):
     assert pieces.parity(data, TEXTS) == []
 
 
+def test_unigram_names_of_pieces_are_text(spark):
+    data = unigram_model(0)
+    docs = spark.createDataFrame(list(enumerate(NAMES)), "doc_id long, text string")
+    encoded = pieces.encode(docs, data)
+    assert all(r["round_trip"] for r in encoded.collect())
+    assert [r["text"] for r in pieces.decode(encoded, data).orderBy("doc_id").collect()] == NAMES
+    a = pieces.Codec(data).open().encode(["<0x41>", "A"])
+    assert a[0] != a[1]
+
+
 def test_bpe_parity_on_whole_texts(spark, sf_mid):
     texts = [r["text"] for r in common.table(spark, sf_mid, "documents").select("text").collect()]
     assert pieces.parity(pieces.model_bytes(), [*texts, *TEXTS, "<s> </s> <0x41> <unk>", "a" * 5000, " " * 50 + "x"]) == []
@@ -324,4 +335,4 @@ def test_round_trip_and_decode(spark, odd, no_docs):
 
 def test_unknown_model_type():
     with pytest.raises(ValueError):
-        pieces.build(proto(2, 2, proto(3, 0, 3)))
+        pieces.Codec(proto(2, 2, proto(3, 0, 3)))

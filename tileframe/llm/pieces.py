@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding with the tokenizers library.
 
-``read_model`` parses the model's protobuf; ``build`` makes a tokenizer of it: the
+``read_model`` parses the model's protobuf; ``Codec`` makes tokenizers of it: the
 normaliser with its character map and white-space rules, the word-start marker,
 unigram scores or BPE merges, byte fallback, and the decoder. Texts are encoded in
 batches of bounded size by several threads in each task. ``parity`` compares ids
@@ -13,8 +13,10 @@ texts are split before each run of markers first, which changes no id and lets t
 library remember words.
 
 Defined cases: a null text has null ids and no tokens; an empty text has none and
-round-trips; control pieces are never found in texts; repeated rows are encoded row
-by row; other columns are passed through or ignored. A text round-trips if the decoded
+round-trips; a very long text is encoded whole, in a call of its own; the names of
+control, unknown, unused and byte pieces in a text are ordinary text; repeated rows are
+encoded row by row; an empty table gives an empty result; other columns are passed
+through or ignored. A text round-trips if the decoded
 text and the text are the same to the model's normaliser; with a normaliser that
 changes nothing but spaces, they are the same but for literal marker characters.
 """
@@ -117,18 +119,10 @@ def _merges(pieces) -> list[tuple[str, str]]:
     return [(text[:k], text[k:]) for text, _, _ in ranked for k in range(1, len(text)) if text[:k] in known and text[k:] in known]
 
 
-def build(data: bytes):
-    """A tokenizers.Tokenizer of a SentencePiece model."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, pre_tokenizers
+def _tokenizer(own, model: dict):
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, pre_tokenizers
 
-    model = read_model(data)
     pieces = model["pieces"]
-    if model["model_type"] == BPE:
-        own = models.BPE({text: k for k, (text, _, _) in enumerate(pieces)}, _merges(pieces), unk_token=pieces[model["unk_id"]][0], fuse_unk=True, byte_fallback=model["byte_fallback"], cache_capacity=100_000)
-    elif model["model_type"] == UNIGRAM:
-        own = models.Unigram([(text, score) for text, score, _ in pieces], unk_id=model["unk_id"], byte_fallback=model["byte_fallback"])
-    else:
-        raise ValueError(f"model type {model['model_type']} is neither unigram nor BPE")
     tokenizer = Tokenizer(own)
     tokenizer.normalizer = _normalizer(model)
     if not any(MARKER in text.lstrip(MARKER) for text, _, kind in pieces if kind in (NORMAL, USER_DEFINED)):
@@ -141,6 +135,64 @@ def build(data: bytes):
     return tokenizer
 
 
+class Codec:
+    """Encodes and decodes lists of texts; made of strings and numbers, so it travels to the
+    tasks as it is.
+
+    A unigram lattice holds every piece of its vocabulary, so control, unknown, unused and
+    byte pieces have no text there, and what no piece covers becomes bytes afterwards. The
+    decoder has all names.
+    """
+
+    def __init__(self, data: bytes):
+        from tokenizers import models
+
+        model = read_model(data)
+        pieces, self.unknown = model["pieces"], model["unk_id"]
+        self.bytes: list[int] = []
+        if model["model_type"] == BPE:
+            names = {text: k for k, (text, _, _) in enumerate(pieces)}
+            own = models.BPE(names, _merges(pieces), unk_token=pieces[self.unknown][0], fuse_unk=True, byte_fallback=model["byte_fallback"], cache_capacity=100_000)
+            self.encoder = self.decoder = _tokenizer(own, model).to_str()
+        elif model["model_type"] == UNIGRAM:
+            lattice = [(text, score) if kind in (NORMAL, USER_DEFINED) else ("", 0.0) for text, score, kind in pieces]
+            self.encoder = _tokenizer(models.Unigram(lattice, unk_id=self.unknown, byte_fallback=False), model).to_str()
+            every = [(text, score) for text, score, _ in pieces]
+            self.decoder = _tokenizer(models.Unigram(every, unk_id=self.unknown, byte_fallback=False), model).to_str()
+            if model["byte_fallback"]:
+                at = {text: k for k, (text, _, kind) in enumerate(pieces) if kind == BYTE}
+                self.bytes = [at[f"<0x{b:02X}>"] for b in range(256)]
+        else:
+            raise ValueError(f"model type {model['model_type']} is neither unigram nor BPE")
+
+    def open(self, threads: int = THREADS) -> Codec:
+        """Loads the tokenizers, once a task; they use so many threads."""
+        os.environ.update(RAYON_NUM_THREADS=str(threads), TOKENIZERS_PARALLELISM="true")
+        from tokenizers import Tokenizer
+
+        self._encoder = Tokenizer.from_str(self.encoder)
+        self._decoder = self._encoder if self.decoder == self.encoder else Tokenizer.from_str(self.decoder)
+        self.normalize = self._encoder.normalizer.normalize_str
+        return self
+
+    def _with_bytes(self, encoding) -> list[int]:
+        out: list[int] = []
+        for k, token in zip(encoding.ids, encoding.tokens, strict=True):
+            out += [self.bytes[b] for b in token.encode()] if k == self.unknown else [k]
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids = [e.ids for e in self._encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.bytes and (lacking := [k for k, own in enumerate(ids) if self.unknown in own]):
+            # The fast call keeps no strings, which the bytes are taken from.
+            for k, encoding in zip(lacking, self._encoder.encode_batch([texts[k] for k in lacking], add_special_tokens=False), strict=True):
+                ids[k] = self._with_bytes(encoding)
+        return ids
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self._decoder.decode_batch(ids, skip_special_tokens=False)
+
+
 def model_bytes(name: str = MODEL, folder: str = TOKENIZER_FOLDER) -> bytes:
     """The model file, read where the driver runs; tasks get the built tokenizer."""
     with open(os.path.join(folder, name), "rb") as f:
@@ -152,8 +204,8 @@ def parity(data: bytes, texts: list[str]) -> list[int]:
     import sentencepiece
 
     theirs = sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts)
-    ours = build(data).encode_batch(texts, add_special_tokens=False)
-    return [k for k, (a, b) in enumerate(zip(ours, theirs, strict=True)) if a.ids != b]
+    ours = Codec(data).open().encode(texts)
+    return [k for k, (a, b) in enumerate(zip(ours, theirs, strict=True)) if a != b]
 
 
 def _groups(texts: list[str]):
@@ -168,33 +220,24 @@ def _groups(texts: list[str]):
         yield start, len(texts)
 
 
-def _task_tokenizer(text: str, threads: int):
-    os.environ.update(RAYON_NUM_THREADS=str(threads), TOKENIZERS_PARALLELISM="true")
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(text)
-
-
 def encode(docs: DataFrame, data: bytes, threads: int = THREADS) -> DataFrame:
     """Adds ``ids`` (array<int>), ``n_tokens`` and ``round_trip`` to ``docs``, in place of
     columns of these names."""
     docs = docs.drop("ids", "n_tokens", "round_trip")
-    made = docs.sparkSession.sparkContext.broadcast(build(data).to_str())
+    made = docs.sparkSession.sparkContext.broadcast(Codec(data))
     names = docs.columns
     at = names.index("text")
 
     def run(batches):
         import numpy as np
 
-        tokenizer = _task_tokenizer(made.value, threads)
-        normalize = tokenizer.normalizer.normalize_str
+        codec = made.value.open(threads)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for start, end in _groups([t or "" for t in texts]):
                 part = [t or "" for t in texts[start:end]]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
-                same = [b == t or normalize(b) == normalize(t) for b, t in zip(back, part, strict=True)]
+                ids = codec.encode(part)
+                same = [b == t or codec.normalize(b) == codec.normalize(t) for b, t in zip(codec.decode(ids), part, strict=True)]
                 null = np.array([t is None for t in texts[start:end]])
                 sizes = np.fromiter(map(len, ids), np.int32, len(ids))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(null, False))
@@ -209,13 +252,13 @@ def encode(docs: DataFrame, data: bytes, threads: int = THREADS) -> DataFrame:
 
 def decode(tokens: DataFrame, data: bytes, threads: int = THREADS) -> DataFrame:
     """doc_id, text of doc_id, ids; null ids give a null text."""
-    made = tokens.sparkSession.sparkContext.broadcast(build(data).to_str())
+    made = tokens.sparkSession.sparkContext.broadcast(Codec(data))
 
     def run(batches):
-        tokenizer = _task_tokenizer(made.value, threads)
+        codec = made.value.open(threads)
         for batch in batches:
             ids = batch.column(1).to_pylist()
-            texts = tokenizer.decode_batch([x or [] for x in ids], skip_special_tokens=False)
+            texts = codec.decode([x or [] for x in ids])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else t for x, t in zip(ids, texts, strict=True)], pa.string())], ["doc_id", "text"])
 
     return tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
