@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,17 +58,45 @@ def labelled(spark, n, bad_every):
     return docs, docs.select("doc_id", F.lit(1).alias("quality"))
 
 
-def test_certified_cutoffs(spark):
-    docs, labels = labelled(spark, 1500, 0)
+def test_certified_steps(spark):
+    docs, labels = labelled(spark, 500, 0)
     cuts = quality.certify(quality.measure(docs), labels).collect()
-    assert [r["stratum"] for r in cuts] == ["=en"] and cuts[0]["cut_symbols"] == min(quality.CUTOFFS)
-    docs, labels = labelled(spark, 1500, 20)  # 5 % of good documents would go: above the risk
-    cut = quality.certify(quality.measure(docs), labels).first()["cut_symbols"]
-    assert cut > 300
-    docs, labels = labelled(spark, 100, 0)  # too few to be sure
+    assert [tuple(r) for r in cuts] == [("=en", quality.STEPS)]
+    docs, labels = labelled(spark, 500, 20)  # 5 % of good documents would go: above the risk
+    steps = quality.certify(quality.measure(docs), labels).first()["steps"]
+    assert quality.PATH[steps - 1][0] == "symbols" and quality.PATH[steps - 1][1] > 300
+    docs, labels = labelled(spark, 90, 0)  # too few to be sure
     assert quality.certify(quality.measure(docs), labels).count() == 0
 
 
+def test_first_step_follows_the_path(spark):
+    base = "n_symbols long, word_chars long, n_repeat_words long, n_words long, n_dup_lines long, n_lines long"
+    rows = [(0, 100, 0, 100, 0, 9), (60, 100, 0, 100, 0, 9), (1, 100, 60, 100, 0, 9), (0, 100, 0, 100, 1, 9), (0, 100, 45, 100, 9, 9), (0, 0, 0, 0, 0, 0)]
+    got = [r[0] for r in spark.createDataFrame(rows, base).select(quality.first_step()).collect()]
+    n = len(quality.CUTOFFS)
+    assert got == [None, 1, n, 2 * n + 1 + sum(c > 111 for c in quality.CUTOFFS), n + 2, None]
+
+
+def test_false_rejections_stay_within_the_risk(spark):
+    """Of many simulated strata, each tested at DELTA, few certify a setting that truly
+    rejects more than RISK; certified settings are not all empty."""
+    rng = np.random.default_rng(11)
+    cuts = sorted(quality.CUTOFFS, reverse=True)
+    # Chance that a good document is first rejected at each of the first steps.
+    chance = [0.004, 0.006, 0.01, 0.009, 0.004, 0.01, 0.02]
+    truly = np.cumsum(chance)
+    strata, n = 300, 600
+    steps = rng.choice(len(chance) + 1, (strata, n), p=[*chance, 1 - truly[-1]])
+    rows = [(s * n + k, str(s), int(cuts[step]) + 1 if step < len(chance) else 0) for s in range(strata) for k, step in enumerate(steps[s])]
+    measured = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "lang", "n_symbols"]))
+    measured = measured.selectExpr("doc_id", "lang", "n_symbols", "1000L AS word_chars", "0L AS n_repeat_words", "100L AS n_words", "0L AS n_dup_lines", "9L AS n_lines", "false AS base_failed")
+    labels = measured.selectExpr("doc_id", "1 AS quality")
+    got = [r["steps"] for r in quality.certify(measured, labels, delta=quality.DELTA * strata).collect()]
+    wrong = sum(s > 0 and truly[min(s, len(truly)) - 1] > quality.RISK for s in got)
+    assert wrong <= quality.DELTA * strata + 3 * math.sqrt(quality.DELTA * strata)
+    assert sum(s >= 2 for s in got) > strata / 2
+
+
 def test_certified_rule_rejects(spark):
     docs, labels = labelled(spark, 1500, 0)
     noisy = spark.createDataFrame([(5000, " ".join(f"w{j}###" for j in range(30)), "en"), (5001, " ".join(f"w{j}###" for j in range(30)), "de")], docs.schema)

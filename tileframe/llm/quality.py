@@ -1,29 +1,31 @@
 """Quality rules with risk-controlled thresholds (DataFrame code only).
 
 ``measure`` computes word, symbol, line and repetition counts of whole texts.
-``certify`` turns labelled documents into cutoffs: for each stratum (language),
-rule and cutoff of a fixed grid it tests the hypothesis "this cutoff rejects more
-than ``alpha`` of the good documents" with the exact binomial tail of the false
-rejections among the labelled good documents, Bonferroni-corrected over all
-tests (strata x rules x cutoffs). The lowest cutoff whose hypothesis falls is
-used; a rule without one rejects nothing in that stratum. The rules share the
-permitted risk, so with probability 1 - ``DELTA`` every stratum loses at most
-``RISK`` of its good documents to all rules together.
-
-The grid is fixed before any label is seen, so all labelled rows are holdout.
-
-Defined cases: a null or empty text has no words and fails the base rule; a null
-language is a stratum of its own; a document with several labels is good if all
-of them say 1; unlabelled and null-labelled rows take no part in the test; repeated
-ids are measured and judged row by row; an empty label table certifies nothing;
-other columns are ignored.
+``certify`` turns labelled documents into cutoffs for each stratum (language). The
+rules and cutoffs form one fixed path of ``STEPS`` settings: the first rule's cutoffs from
+lax to strict, then, with these kept, the second rule's, and so on. Each setting rejects
+what the ones before it reject, and the hypothesis "this setting rejects more than
+``RISK`` of the good documents" is tested with the exact binomial tail of the false
+rejections among the labelled good documents. Hypotheses on a path are tested in its
+order, up to the first that stands, so they need no correction; strata share ``DELTA``
+(Bonferroni). With probability 1 - ``DELTA`` every stratum loses at most ``RISK`` of its
+good documents to all rules together.
+
+The path is fixed before any label is seen, so all labelled rows are holdout.
+
+Defined cases: a null or empty text has no words and fails the base rule; a very long
+text is measured whole; a null language is a stratum of its own; null ids are measured
+and have no label; a document with several labels is good if all of them say 1; unlabelled
+and null-labelled rows take no part in the test; repeated ids are measured and judged row
+by row; an empty label table certifies nothing, an empty document table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,6 +45,9 @@ RULES = {
     "dup_lines": ("n_dup_lines", "n_lines"),
 }
 CUTOFFS = (5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500)
+#: The path: (rule, cutoff) of each step.
+PATH = tuple((rule, cut) for rule in RULES for cut in sorted(CUTOFFS, reverse=True))
+STEPS = len(PATH)
 #: Thresholds of at most so many strata are broadcast.
 BROADCAST_STRATA = 10_000
 
@@ -127,31 +132,43 @@ def _over(rule: str, cutoff) -> Column:
     return 1000 * F.col(above) > cutoff * F.col(below)
 
 
+def first_step() -> Column:
+    """Number, from 1, of the first step of the path that rejects the document; null where
+    none does."""
+    by_rule = []
+    for rule in RULES:
+        own = None
+        for step, (of, cut) in enumerate(PATH, 1):
+            if of == rule:
+                own = F.when(_over(rule, cut), step) if own is None else own.when(_over(rule, cut), step)
+        by_rule.append(own)
+    return F.least(*by_rule)
+
+
 def certify(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """stratum and one column ``cut_<rule>`` a rule (null: rejects nothing), from
-    doc_id, lang and the measures, and from labels (doc_id, quality)."""
-    alpha = risk / len(RULES)
+    """stratum and ``steps``, how many steps of the path are certified in it, from doc_id,
+    lang and the measures, and from labels (doc_id, quality)."""
     good = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
     held_out = measured.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    lost = [F.sum(_over(rule, cut).cast("long")).alias(f"{rule}_{cut}") for rule in RULES for cut in CUTOFFS]
-    counts = held_out.groupBy(_stratum().alias("stratum")).agg(F.count("*").alias("n"), *lost)
-    tests = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cutoff"), F.col(f"{rule}_{cut}").alias("lost")) for rule in RULES for cut in CUTOFFS]))
+    counts = held_out.groupBy(_stratum().alias("stratum"), first_step().alias("step")).agg(F.count("*").alias("n"))
     counts = common.materialize(counts, "quality-counts")
-    n_tests = max(1, counts.count()) * len(RULES) * len(CUTOFFS)
-    passed = counts.select("stratum", "n", tests.alias("test")).filter(binomial_tail(F.col("n"), F.col("test.lost"), alpha) <= delta / n_tests)
-    lowest = [F.min(F.when(F.col("test.rule") == rule, F.col("test.cutoff"))).alias(f"cut_{rule}") for rule in RULES]
-    return passed.groupBy("stratum").agg(*lowest)
+    sizes = counts.groupBy("stratum").agg(F.sum("n").alias("all"))
+    level = delta / max(1, sizes.count())
+    # At most STEPS rows a stratum: what the path has rejected up to each step.
+    lost = F.sum("n").over(Window.partitionBy("stratum").orderBy("step"))
+    tested = counts.filter("step IS NOT NULL").withColumn("lost", lost).join(sizes, "stratum")
+    stands = tested.filter(binomial_tail(F.col("all"), F.col("lost"), risk) > level).groupBy("stratum").agg(F.min("step").alias("stop"))
+    enough = F.pow(F.lit(1 - risk), F.col("all")) <= level
+    return sizes.join(stands, "stratum", "left").filter(enough).select("stratum", F.coalesce(F.col("stop") - 1, F.lit(STEPS)).alias("steps")).filter("steps > 0")
 
 
 def judge(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Adds ``kept`` to measured documents."""
-    cuts = common.materialize(thresholds, "quality-cutoffs")
+    cuts = common.materialize(thresholds, "quality-cutoffs").select(F.col("stratum").alias("_stratum"), F.col("steps").alias("_steps"))
     cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts
-    joined = measured.withColumn("_stratum", _stratum()).join(cuts.withColumnRenamed("stratum", "_stratum"), "_stratum", "left")
-    rejected = F.lit(False)
-    for rule in RULES:
-        rejected = rejected | F.coalesce(_over(rule, F.col(f"cut_{rule}")), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *[f"cut_{rule}" for rule in RULES])
+    joined = measured.withColumn("_stratum", _stratum()).join(cuts, "_stratum", "left")
+    rejected = F.coalesce(first_step() <= F.col("_steps"), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", "_steps")
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -174,9 +191,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows = ", ".join(f"('{rule}', {cut}, '{a}', '{b}')" for rule, (a, b) in RULES.items() for cut in CUTOFFS)
-    alpha = RISK / len(RULES)
-    value = lambda at: "CASE rule " + " ".join(f"WHEN '{rule}' THEN {ab[at]}" for rule, ab in RULES.items()) + " END"
+    over = lambda rule, cut: f"1000 * {RULES[rule][0]} > {cut} * {RULES[rule][1]}"
+    by_rule = ["CASE " + " ".join(f"WHEN {over(rule, cut)} THEN {step}" for step, (of, cut) in enumerate(PATH, 1) if of == rule) + " END" for rule in RULES]
     return rf"""
 WITH split AS (
   SELECT doc_id, lang, coalesce(text, '') AS text,
@@ -197,21 +213,24 @@ measured AS (
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM numbered LEFT JOIN covered c USING (row_id)),
 based AS (
-  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM measured),
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+         least({", ".join(by_rule)}) AS step FROM measured),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-tests AS (SELECT * FROM (VALUES {rows}) AS t(rule, cutoff, above, below)),
-tested AS (
-  SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (1000 * ({value(0)}) > cutoff * ({value(1)})) AS k
-  FROM (SELECT * FROM based WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)), tests GROUP BY ALL),
-passed AS (
-  SELECT lang, rule, min(cutoff) AS cutoff FROM tested
-  WHERE k < n * {alpha} AND list_sum(list_transform(range(0, k + 1), lambda j:
-      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha}))))
-    <= {DELTA} / (SELECT count(*) FROM tested)
-  GROUP BY ALL)
+held_out AS (SELECT lang, step FROM based WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+sizes AS (SELECT lang, count(*) AS n FROM held_out GROUP BY lang),
+level AS (SELECT {DELTA} / count(*) AS p FROM sizes),
+lost AS (SELECT lang, step, sum(count(*)) OVER (PARTITION BY lang ORDER BY step) AS k FROM held_out WHERE step IS NOT NULL GROUP BY lang, step),
+stands AS (
+  SELECT l.lang, min(step) AS stop FROM lost l JOIN sizes s ON l.lang IS NOT DISTINCT FROM s.lang, level
+  WHERE k >= n * {RISK} OR list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j:
+      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) > p
+  GROUP BY l.lang),
+certified AS (
+  SELECT s.lang, coalesce(stop - 1, {STEPS}) AS steps FROM sizes s LEFT JOIN stands t ON s.lang IS NOT DISTINCT FROM t.lang, level
+  WHERE pow(1 - {RISK}, n) <= p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (
-         SELECT 1 FROM passed p WHERE p.lang IS NOT DISTINCT FROM b.lang AND 1000 * ({value(0)}) > p.cutoff * ({value(1)})) AS kept
+         SELECT 1 FROM certified c WHERE c.lang IS NOT DISTINCT FROM b.lang AND b.step <= c.steps) AS kept
 FROM based b
 """
 
