@@ -4,9 +4,12 @@ import itertools
 import math
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
+import regex
+import zstandard
 from pyspark.sql import functions as F
 
 from tileframe.llm import backoff, common, kneser_ney, langid, metric_tree, pieces, toxicity
@@ -171,6 +174,49 @@ def test_language_id_of_odd_rows(odd, no_docs):
     assert set(langid.fit(odd)) == {"en", "de", "fr"}
 
 
+def test_language_id_ties(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four five"), (2, "zzz")], "doc_id long, text string")
+    same = b"one two three four five " * 9
+    assert [r["lang_pred"] for r in langid.classify(docs, {"b": same, "a": same}).collect()] == ["a"] * 3
+    assert {r["score"] for r in langid.classify(docs, {"b": same, "a": same}).collect()} == {0.5}
+
+
+def test_language_id_equals_plain_python(spark, sf_small, tmp_path):
+    """The whole query against plain code: sample, dictionaries, sizes."""
+    rows = [tuple(r) for r in common.table(spark, sf_small, "documents").select("doc_id", "lang", "text").collect()]
+    rows += [(90001, None, "words of no language"), (90002, "en", None), (90004, "xx", "!?"), (90005, "en", "word " * 40_000)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda t: zlib.crc32(t.encode())
+    own = lambda t: regex.sub(r"\P{L}+", " ", t.lower())
+    learned = {}
+    for lang in {r[1] for r in rows} - {None}:
+        usable = sorted((crc(f"lid:{d}"), d, t) for d, x, t in rows if x == lang and t is not None and crc(str(d)) % 3 != 1 and len(t) <= langid.SAMPLE_CHARS)
+        ends = list(itertools.accumulate(len(t) for _, _, t in usable))
+        if parts := [own(t) for (_, _, t), end in zip(usable, ends, strict=True) if end <= langid.SAMPLE_CHARS]:
+            learned[lang] = zstandard.ZstdCompressionDict("\n".join(parts).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            learned[lang].precompute_compress(level=langid.LEVEL)
+
+    def size(lang, data):
+        pack = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=learned[lang], write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(pack.compress(data[k : k + langid.PIECE_BYTES])) for k in range(0, len(data), langid.PIECE_BYTES))
+
+    got = {r["doc_id"]: r for r in langid.op6_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for doc_id, _, text in rows:
+        r = got[doc_id]
+        assert r["held_out"] == (crc(str(doc_id)) % 3 == 1)
+        if not text or not regex.search(r"\p{L}", text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+        else:
+            sizes = {lang: size(lang, own(text).encode()) for lang in learned}
+            assert sizes[r["lang_pred"]] == min(sizes.values())
+
+
+def test_language_id_of_an_empty_table(spark, sf_small, tmp_path):
+    common.table(spark, sf_small, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert langid.op6_language_id(spark, str(tmp_path)).count() == 0
+
+
 # Toxicity
 
 

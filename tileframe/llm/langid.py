@@ -1,19 +1,21 @@
 """Language identification by compression.
 
-Each learned language has a raw-content zstandard dictionary. A text, in lower case
-and with one space for whatever is not a letter, is cut into pieces of ``PIECE_BYTES`` that are compressed with every dictionary; the language
-whose sizes add up to the least is chosen. ``rejected`` marks texts whose runner-up
+Each learned language has a raw-content zstandard dictionary. A text, in lower case and
+with one space for whatever is not a letter, is cut into pieces of ``PIECE_BYTES`` that are
+compressed with every dictionary; the language whose sizes add up to the least is chosen. ``rejected`` marks texts whose runner-up
 is within ``MIN_MARGIN`` of the best.
 
-The dictionaries are fitted on a bounded sample: ``SAMPLE_DOCS`` labelled documents
-a language, chosen by a hash of the id over all labelled rows, ``SAMPLE_CHARS``
-consecutive characters of each from a hashed place. They are the only thing that
-goes to every task: languages x SAMPLE_DOCS x SAMPLE_CHARS characters at most.
+The dictionaries are fitted on a bounded sample of whole texts: labelled documents in the
+order of a hash of the id, as long as a language's texts stay within ``SAMPLE_CHARS``
+characters together (longer single texts are passed over), of the ``LANGUAGES`` languages
+with the most labelled documents. The dictionaries are the only thing that goes to every
+task: LANGUAGES x SAMPLE_CHARS characters at most.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is
-everything where no language was learned; a null language is not learned from;
-equal sizes go to the language whose dictionary holds more of the text's words, then
-to the first by name; repeated ids are judged row by row; other columns are ignored.
+everything where no language was learned, an empty table among them; a very long text is
+judged whole, piece by piece; a null language is not learned from; equal sizes go to the
+language whose dictionary holds more of the text's words, then to the first by name;
+repeated ids are judged row by row, and null ids like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_DOCS = 320
-SAMPLE_CHARS = 400
+SAMPLE_CHARS = 128_000
+LANGUAGES = 256
+#: Rows of a language that are looked at for the sample, by their hash.
+LOOKED_AT = 2000
 PIECE_BYTES = 2048
 LEVEL = 9
 MIN_MARGIN = 0.01
@@ -38,25 +42,31 @@ UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Dictionary of each language from doc_id, text, lang."""
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     place = F.crc32(F.concat(F.lit("lid:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    narrow = usable.select("doc_id", "lang", place.alias("place"))
-    counts = {r["lang"]: r["n"] for r in narrow.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    # Twice the wanted number by threshold, then exactly that number by rank.
-    limit = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(math.ceil(2**32 * min(1.0, 2 * sample_docs / n))))])
-    few = usable.withColumn("place", place).filter(F.col("place") <= limit[F.col("lang")])
-    start = F.greatest(F.lit(0), F.length("text") - sample_chars) * (F.col("place") % 997) / 997
-    few = few.select("lang", "place", "doc_id", F.regexp_replace(F.lower(F.substring("text", (F.floor(start) + 1).cast("int"), F.lit(sample_chars))), r"\P{L}+", " ").alias("part"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "part"))
-    chosen = few.withColumn("rank", rank).filter(F.col("rank") <= sample_docs)
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    # At most `languages` rows, so they are broadcast. A threshold on the hash leaves about
+    # LOOKED_AT rows a language, so that no window gets a whole language.
+    near = usable.withColumn("place", place).join(F.broadcast(counts), "lang").filter(F.col("place") <= F.lit(2**32) * F.lit(LOOKED_AT) / F.col("n"))
+    order = ("place", "doc_id", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    few = near.withColumn("rank", rank).filter(F.col("rank") <= LOOKED_AT).select("lang", "text", "rank", F.length("text").alias("chars"))
+    fits = few.filter(F.col("chars") <= sample_chars)
+    upto = F.sum("chars").over(Window.partitionBy("lang").orderBy("rank"))
+    chosen = fits.withColumn("upto", upto).filter(F.col("upto") <= sample_chars)
     parts: dict[str, list] = {}
-    for r in chosen.select("lang", "rank", "part").collect():
-        parts.setdefault(r["lang"], []).append((r["rank"], r["part"]))
-    return {lang: "\n".join(text for _, text in sorted(own)).encode() for lang, own in sorted(parts.items())}
+    for r in chosen.select("lang", "rank", "text").collect():
+        parts.setdefault(r["lang"], []).append((r["rank"], r["text"]))
+    return {lang: "\n".join(letters(text) for _, text in sorted(own)).encode("utf-8", "replace") for lang, own in sorted(parts.items())}
+
+
+def letters(text: str) -> str:
+    """Lower case, one space for each run of what is not a letter."""
+    import regex
+
+    return regex.sub(r"\P{L}+", " ", text.lower())
 
 
 class Classifier:
@@ -66,7 +76,7 @@ class Classifier:
         import regex
         import zstandard
 
-        self.letter, self.rest = regex.compile(r"\p{L}"), regex.compile(r"\P{L}+")
+        self.letter = regex.compile(r"\p{L}")
         self.langs = sorted(dictionaries)
         self.content = [dictionaries[lang] for lang in self.langs]
         self.compressors = []
@@ -82,7 +92,7 @@ class Classifier:
     def judge(self, text: str | None) -> tuple[str, float, float, bool]:
         if text is None or not self.langs or not self.letter.search(text):
             return UNKNOWN, 0.0, 0.0, True
-        data = self.rest.sub(" ", text.lower()).encode("utf-8", "replace")
+        data = letters(text).encode("utf-8", "replace")
         sizes = self.sizes(data)
         best = min(sizes)
         tied = [k for k, n in enumerate(sizes) if n == best]
