@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -220,16 +221,75 @@ def test_language_id_of_an_empty_table(spark, sf_small, tmp_path):
 # Toxicity
 
 
-def test_marginals_equal_enumeration():
-    rng = np.random.default_rng(1)
-    e, step, start = rng.normal(size=(1, 6)), rng.normal(size=(2, 2)), rng.normal(size=2)
+def enumerated(e, step, start):
     weight = {}
-    for tags in itertools.product((0, 1), repeat=6):
-        s = start[tags[0]] + sum(e[0, k] for k in range(6) if tags[k]) + sum(step[a, b] for a, b in itertools.pairwise(tags))
+    for tags in itertools.product((0, 1), repeat=len(e)):
+        s = start[tags[0]] + sum(e[k] for k in range(len(e)) if tags[k]) + sum(step[a, b] for a, b in itertools.pairwise(tags))
         weight[tags] = math.exp(s)
     total = sum(weight.values())
-    want = [sum(w for tags, w in weight.items() if tags[k]) / total for k in range(6)]
-    assert toxicity.marginals(e, step, start)[0][0] == pytest.approx(want)
+    return [sum(w for tags, w in weight.items() if tags[k]) / total for k in range(len(e))]
+
+
+def test_marginals_equal_enumeration(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 3)  # documents of one to four chunks
+    rng = np.random.default_rng(1)
+    lengths = np.array([6, 0, 1, 10, 3, 7])
+    e, step, start = rng.normal(size=27) * 2, rng.normal(size=(2, 2)), rng.normal(size=2)
+    want = [p for a, n in zip(np.cumsum(lengths) - lengths, lengths, strict=True) if n for p in enumerated(e[a : a + n], step, start)]
+    assert toxicity.marginals(e, lengths, step, start) == pytest.approx(want)
+    assert len(toxicity.marginals(e[:0], np.array([0, 0]), step, start)) == 0
+
+
+def plain_toxicity(text, model):
+    """(score, spans) by log-sums over the whole chain, token by token."""
+    low = (text or "").lower()
+    found = list(re.finditer(r"[^\W\d_]+", low))
+    e = [float(model["weights"][toxicity._features(m[0])].astype(float).sum() + model["bias"]) for m in found]
+    add, step, start = np.logaddexp, model["step"], model["start"]
+    ahead, back = [], [(0.0, 0.0)]
+    for k, x in enumerate(e):
+        o, t = ahead[-1] if k else (None, None)
+        ahead.append((add(o + step[0, 0], t + step[1, 0]), add(o + step[0, 1], t + step[1, 1]) + x) if k else (start[0], start[1] + x))
+    for x in e[:0:-1]:
+        o, t = back[0]
+        back.insert(0, (add(step[0, 0] + o, step[0, 1] + t + x), add(step[1, 0] + o, step[1, 1] + t + x)))
+    p = [1 / (1 + math.exp(min(700, max(-700, (a[0] + b[0]) - (a[1] + b[1]))))) for a, b in zip(ahead, back, strict=False)]
+    best = min(1 - 1e-9, max([1e-9, *p]))
+    score = 1 / (1 + math.exp(-(model["slope"] * math.log(best / (1 - best)) + model["shift"])))
+    spans, last = [], -2
+    for k, (m, x) in enumerate(zip(found, p, strict=True)):
+        if x >= 0.5:
+            spans = [*spans[:-1], (spans[-1][0], m.end())] if last == k - 1 else [*spans, m.span()]
+            last = k
+    return score, spans
+
+
+def test_toxicity_equals_plain_python(spark, sf_small):
+    """The whole query against plain code with the same model."""
+    labels = {r["doc_id"]: r["toxic"] for r in common.table(spark, sf_small, "labels").collect()}
+    rows = common.table(spark, sf_small, "documents").select("doc_id", "text").collect()
+    split = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    sample = sorted((d, t) for d, t in rows if t and d in labels and not split(d))
+    model = toxicity.train([t for _, t in sample], [int(labels[d] > 0) for d, _ in sample])
+    got = {r["doc_id"]: r for r in toxicity.op5_toxicity(spark, sf_small).collect()}
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        score, spans = plain_toxicity(text, model)
+        r = got[doc_id]
+        assert r["held_out"] == split(doc_id) and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["score"] == pytest.approx(score, abs=1e-4)
+        assert r["spans"] == ",".join(f"{a}:{b}" for a, b in spans) and r["n_spans"] == len(spans)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(k % 400, "word " * (1 + k % 7)) for k in range(2000)] + [(k, "x" * 5000) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    got = toxicity.training_rows(docs, labels, 60, 2000).collect()
+    assert len({r["doc_id"] for r in got}) == len(got)
+    for toxic in (True, False):
+        own = [r["text"] for r in got if r["toxic"] == toxic]
+        assert 20 < len(own) <= 60 and sum(map(len, own)) <= 2000 and max(map(len, own)) <= 200
 
 
 @pytest.fixture(scope="module")
