@@ -1,7 +1,9 @@
 """Secret scan against a brute-force scan with Python's expressions."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +102,37 @@ def test_trigram_queries():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scan(empty).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """Work grows with the matches, not with their square."""
+    rng = random.Random(1)
+    text = " ".join(f"{rng.getrandbits(128):032x}" + "é😀"[: k % 3] for k in range(40_000)) + " password=hunter22"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    row = secrets.scan(docs).first()
+    masked = secrets.redact(docs).first()["text"]
+    assert time.monotonic() - began < 60
+    assert [tuple(s) for s in row["spans"]] == brute(text)
+    assert masked == re.sub(r"[0-9a-f]{24,}", secrets.MASK, text).replace("password=hunter22", secrets.MASK)
+
+
+def test_overlapping_spans_have_one_mask(spark):
+    texts = ["﻿a token=" + "0123456789abcdef" * 2 + "﻿z", "secret=AKIA" + "A1" * 9 + "x y", "é AKIA" + "B2" * 10 + "c" * 30, "token=abcdefgh"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert got == ["﻿a " + secrets.MASK + "﻿z", secrets.MASK + " y", "é " + secrets.MASK, secrets.MASK]
+
+
+def test_odd_rows_and_clashing_columns(spark, odd, no_docs):
+    docs = odd.withColumn("_text", F.lit(1)).withColumn("_id", F.lit(2))
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns
+    assert sorted(got.drop("n_chars").collect(), key=str) == sorted(docs.drop("n_chars").collect(), key=str)
+    assert secrets.redact(no_docs).count() == 0
+
+
+def test_broadcast_and_shuffle_agree(docs, monkeypatch):
+    want = sorted(map(str, secrets.scan(docs).collect()))
+    monkeypatch.setattr(secrets, "BROADCAST_IDS", 0)
+    assert sorted(map(str, secrets.scan(docs).collect())) == want

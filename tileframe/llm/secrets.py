@@ -8,13 +8,18 @@ Only candidates of a rule run its expression; a rule without mandatory trigrams
 (a long hexadecimal run) scans every text.
 
 Matches are leftmost and do not overlap within a rule; offsets are code points, the
-end is exclusive. A match's place is found by searching for its string after the
-previous match: an earlier occurrence of the same string would itself have been
-the leftmost match.
-
-Defined cases: a null text counts as empty; repeated ids share their postings and
-are verified row by row; a document without spans has an empty span list; an empty
-table gives an empty result; other columns are passed through or ignored.
+end is exclusive. The text is split at a rule's matches, and the lengths of the parts
+between and of the matches add up to the places. Running sums and maxima double their
+reach step by step (``_running``), so the work for a text grows with n log n of its n
+matches; masked texts are put together from slices of their fixed-width form.
+
+The candidates are broadcast up to ``BROADCAST_IDS`` of them; with more, documents are
+joined to them by shuffle.
+
+Defined cases: a null text counts as empty; a very long text, or one with very many
+matches, is scanned whole; repeated and null ids share their postings and are verified
+row by row; a document without spans has an empty span list; an empty table gives an
+empty result; other columns, whatever their names, are passed through or ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MASK = "[SECRET]"
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -187,55 +193,88 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return may.filter(reduce(lambda a, b: a | b, [F.col(f"may_{kind}") for kind in queries]))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, op) -> Column:
+    """Array of what ``op`` makes of all values up to each one. Step k reaches 2 ** k
+    values back, so there are log2(n) steps over the array."""
+    steps = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def back(k: Column) -> Column:
+        return F.pow(F.lit(2), k).cast("int")
+
+    def double(acc: Column, k: Column) -> Column:
+        return F.transform(acc, lambda x, at: F.when(at >= back(k), op(x, F.get(acc, at - back(k)))).otherwise(x))
+
+    return F.aggregate(steps, values, double)
+
+
+SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
+
+
 def _matches(rule: Rule, order: int, guard: Column | None) -> Column:
     """Array of (start, order, kind, end) of one rule in ``_text``."""
-    text = F.col("_text")
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.value)) if rule.least else whole
-    zero = F.struct(F.lit(1).alias("from"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    text, pattern = F.col("_text"), F.lit(rule.pattern)
+
+    def named(found: Column, ends: Column) -> Column:
+        value = F.regexp_extract_all(text, pattern, F.lit(rule.value)) if rule.least else found
+        parts = F.arrays_zip(found.alias("whole"), value.alias("value"), ends.alias("end"))
+        kept = F.filter(parts, lambda m: F.length(m["value"]) >= rule.least) if rule.least else parts
+        return F.transform(kept, lambda m: F.struct((m["end"] - F.length(m["whole"])).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), m["end"].alias("end")))
 
-    def place(acc: Column, found: Column) -> Column:
-        at = F.call_function("locate", found["whole"], text, acc["from"])
-        start = at - 1
-        spans = F.array_append(acc["spans"], F.struct(start.alias("start"), (start + F.length(found["whole"])).alias("end")))
-        kept = F.when(F.length(found["value"]) >= rule.least, spans).otherwise(acc["spans"]) if rule.least else spans
-        return F.struct((at + F.length(found["whole"])).alias("from"), kept.alias("spans"))
+    def spans(found: Column) -> Column:
+        # Part k between matches is followed by match k: their lengths add up to its end.
+        lengths = lambda parts: F.transform(found, lambda m, k: F.length(F.get(parts, k)) + F.length(m))
+        ends = _let(_let(F.split(text, rule.pattern), lengths), lambda n: _running(n, lambda a, b: a + b))
+        return F.when(F.size(found) > 0, named(found, ends)).otherwise(F.array().cast(SPANS))
 
-    spans = F.aggregate(F.arrays_zip(whole.alias("whole"), value.alias("value")), zero, place)["spans"]
-    spans = F.when(F.coalesce(guard, F.lit(False)), spans) if guard is not None else spans
-    named = F.transform(F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")), lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")))
-    return named
+    found = _let(F.regexp_extract_all(text, pattern, F.lit(0)), spans)
+    return found if guard is None else F.when(F.coalesce(guard, F.lit(False)), found).otherwise(F.array().cast(SPANS))
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """Adds ``spans``, array of (start, order, kind, end) by start, then rule, to doc_id,
     text and columns whose names cannot clash (see ``common.set_aside``)."""
-    may = candidates(postings(docs, rules), rules).withColumnRenamed("doc_id", "_id")
-    checked = docs.join(may.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(may["_id"]), "left").withColumn("_text", F.coalesce("text", F.lit("")))
+    may = common.materialize(candidates(postings(docs, rules), rules), "secret-candidates").withColumnRenamed("doc_id", "_id")
+    may = F.broadcast(may) if may.count() <= BROADCAST_IDS else may.hint("shuffle_hash")
+    checked = docs.join(may, docs["doc_id"].eqNullSafe(may["_id"]), "left").withColumn("_text", F.coalesce("text", F.lit("")))
     guards = {kind: F.col(f"may_{kind}") for kind in indexed(rules)}
     found = checked.withColumns({f"_{rule.kind}": _matches(rule, k, guards.get(rule.kind)) for k, rule in enumerate(rules)})
     spans = F.array_sort(F.concat(*[F.col(f"_{rule.kind}") for rule in rules]))
     return found.withColumn("spans", spans).select(*[docs[c] for c in docs.columns], "spans")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its texts replaced by a mask, n_chars to match."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with MASK for each span; spans that meet earlier ones prolong their mask."""
+    # Four bytes a code point, so that a slice costs its own length; a space before each
+    # slice is no byte order mark.
+    wide = F.encode(text, "UTF-32")
+    blank = F.encode(F.lit(" "), "UTF-32")
 
-    def cover(acc: Column, span: Column) -> Column:
-        apart = span["start"] >= acc["at"]
-        out = F.when(apart, F.concat(acc["out"], text.substr(acc["at"] + 1, span["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], span["end"]).alias("at"))
+    def put_together(reach: Column) -> Column:
+        def cut(data: Column) -> Column:
+            part = lambda start, n: F.substring(F.decode(F.concat(blank, F.substring(data, 4 * start + 1, 4 * n)), "UTF-32"), 2, n)
+            before = F.transform(spans, lambda s, k: F.struct(F.when(k == 0, 0).otherwise(F.get(reach, k - 1)).alias("from"), s["start"].alias("to")))
+            gaps = F.filter(before, lambda g: g["to"] >= g["from"])
+            parts = F.transform(gaps, lambda g: part(g["from"], g["to"] - g["from"]))
+            end = F.element_at(reach, -1)
+            return F.array_join(F.concat(parts, F.array(part(end, F.length(text) - end))), MASK)
 
-    def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))
+        return _let(wide, cut)
 
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", zero, cover, rest)).otherwise(F.col("text"))
+    return _let(_running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), put_together)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span of its texts replaced by a mask, n_chars to match."""
     inner, names = common.set_aside(docs, "doc_id", "text", "n_chars")
-    scanned = scan(inner).withColumn("text", clean)
+    found = F.size("spans") > 0
+    scanned = scan(inner).withColumn("text", F.when(found, _masked(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        scanned = scanned.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        scanned = scanned.withColumn("n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return scanned.select(*names)
 
 
