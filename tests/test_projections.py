@@ -56,13 +56,16 @@ def test_refresh_and_substitution(spark, stock):
         ("SELECT symbol, day FROM stock", "aggregate"),
         ("SELECT day, count(*) FROM stock GROUP BY day", "outside"),
         ("SELECT max(symbol) FROM stock", "aggregates use"),
+        ("SELECT s.day, t.n FROM stock s JOIN (SELECT count(*) AS n FROM names) t ON s.low > t.n", "outside"),
         ("SELECT sum(a.low) FROM stock a JOIN stock b ON a.symbol = b.symbol", "more than once"),
         ("SELECT sum(low) FROM stock WHERE low > (SELECT avg(low) FROM stock)", "Subquery"),
         ("SELECT sum(low) OVER (PARTITION BY symbol ORDER BY day) FROM stock", "Window"),
     ],
 )
-def test_no_substitution(stock, text, why):
+def test_no_substitution(spark, stock, text, why):
     stock.refresh("vstock")
+    spark.createDataFrame([("AAA", "first")], "symbol string, label string").write.parquet(f"{stock.root}/names")
+    stock.register_source("names", f"{stock.root}/names")
     engine = Engine(stock, substitute=True)
     assert why in engine.explain_substitution(text)
     assert "vstock" not in files_of(engine.sql(text))
@@ -109,12 +112,104 @@ def test_bad_definitions(stock):
 
 
 def test_stream_refresh(spark, stock):
-    path, marks = f"{stock.root}/streamed", f"{stock.root}/marks"
-    stream_refresh(stock, "vstock", path, marks).awaitTermination()
-    assert spark.read.parquet(path).count() == 5
+    marks = f"{stock.root}/marks"
+    engine = Engine(stock, substitute=True)
+    stream_refresh(stock, "vstock", marks).awaitTermination()
+    assert engine.explain_substitution(TEXT) == "stock -> vstock"
+    assert engine.sql(TEXT).first()["mid"] == pytest.approx(10.96, abs=1e-6)
+    rows(spark, MORE, 6).write.mode("append").parquet(stock.sources["stock"])
+    stream_refresh(stock, "vstock", marks).awaitTermination()
+    assert stock.read("vstock").count() == 10
+    assert engine.sql(TEXT).first()["mid"] == pytest.approx(10.92, abs=1e-6)
+    with pytest.raises(ValueError):
+        stock.refresh("vstock")
+    stock.create_projection("batches", "stock", ["low"])
+    stock.refresh("batches")
+    with pytest.raises(ValueError):
+        stream_refresh(stock, "batches", f"{stock.root}/others")
+
+
+def test_substitution_keeps_the_session(spark, stock):
+    """Settings, functions and views of the caller's session hold under substitution."""
+    stock.refresh("vstock")
+    on, off = Engine(stock, substitute=True), Engine(stock)
+    spark.udf.register("plus1", lambda x: x + 1, "double")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION halved(x DOUBLE) RETURNS DOUBLE RETURN x / 2")
+    texts = [
+        "SELECT max(hour(timestamp_seconds(1520000000 + 0 * day(day)))) AS h, sum(plus1(low)) AS s FROM stock GROUP BY symbol",
+        "SELECT symbol, sum(halved(low)) AS s FROM stock WHERE halved(high) > 5 GROUP BY symbol",
+        "SELECT sum(l) AS s FROM (SELECT low AS l, symbol FROM stock) GROUP BY symbol",
+    ]
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for text in texts:
+                assert on.explain_substitution(text) == "stock -> vstock"
+                assert files_of(on.sql(text)) == {"vstock"}
+                assert on.sql(text).collect() == off.sql(text).collect()
+        spark.sql("SELECT low + 1 AS low FROM stock").createOrReplaceTempView("raised")
+        assert on.sql("SELECT sum(low) FROM raised").first() == off.sql("SELECT sum(low) FROM raised").first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    # The source's own name is the source again.
+    assert "vstock" not in files_of(spark.sql("SELECT * FROM stock"))
+
+
+def test_null_order_keys(spark, stock):
+    lost = spark.createDataFrame([("AAA", None, 3.0, 4.0, 3.5, 3.5), ("BBB", None, 5.0, 6.0, 5.5, 5.5)], "symbol string, day date, low float, high float, open float, close float")
+    text = "SELECT sum(low) AS s, count(*) AS n FROM stock GROUP BY symbol ORDER BY s"
+    on, off = Engine(stock, substitute=True), Engine(stock)
+    lost.write.mode("append").parquet(stock.sources["stock"])
+    assert stock.refresh("vstock") == 7
+    assert on.explain_substitution(text) == "stock -> vstock" and on.sql(text).collect() == off.sql(text).collect()
+    assert stock.refresh("vstock") == 0
+    lost.limit(1).write.mode("append").parquet(stock.sources["stock"])
     rows(spark, MORE, 6).write.mode("append").parquet(stock.sources["stock"])
-    stream_refresh(stock, "vstock", path, marks).awaitTermination()
-    assert spark.read.parquet(path).count() == 10
+    stock.register_source("stock", stock.sources["stock"])
+    assert stock.refresh("vstock") == 13
+    assert on.sql(text).collect() == off.sql(text).collect()
+
+
+def test_names_of_any_case_and_views(spark, stock):
+    stock.register_source("Trades", stock.sources["stock"])
+    stock.create_projection("Narrow", "TRADES", ["low"], ["symbol"])
+    stock.refresh("NARROW")
+    assert Engine(stock, substitute=True).explain_substitution("SELECT sum(t.low) FROM Trades t GROUP BY symbol") == "trades -> narrow"
+    assert spark.sql("SELECT count(*) FROM narrow").first()[0] == 5
+    assert spark.sql("SELECT sum(low) AS s FROM Narrow").first()["s"] == pytest.approx(53.5)
+
+
+def test_refresh_prunes(spark, stock):
+    """A range of the order key opens few of the projection's row groups."""
+    root = tempfile.mkdtemp(prefix="spark-test-")
+    spark.range(200_000).selectExpr("id", "pmod(xxhash64(id), 100000) AS k", "CAST(id AS DOUBLE) AS v").repartition(4).write.parquet(f"{root}/t")
+    stock.register_source("t", f"{root}/t")
+    stock.create_projection("pt", "t", ["k", "v"], [], "k")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        stock.refresh("pt")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    text = "SELECT count(*) AS n, sum(v) AS s FROM t WHERE k BETWEEN 500 AND 900"
+    on, off = Engine(stock, substitute=True).sql(text), Engine(stock).sql(text)
+    assert on.collect() == off.collect()
+    assert scanned(on) < 0.5 * scanned(off)
+
+
+def scanned(df):
+    """Rows that the scans of an executed query put out."""
+    def leaves(plan):
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            return leaves(plan.executedPlan())
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            return leaves(plan.plan())
+        children = plan.children()
+        found = [leaves(children.apply(k)) for k in range(children.size())]
+        return sum(found, []) if found else [plan]
+
+    df.collect()
+    return sum(leaf.metrics().apply("numOutputRows").value() for leaf in leaves(df._jdf.queryExecution().executedPlan()))
 
 
 def test_csv_import(spark):

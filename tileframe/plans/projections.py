@@ -2,9 +2,13 @@
 
 A projection is a Parquet copy of some columns of a source, its files sorted by the
 scalar (grouping) columns and the order key, so that row-group bounds prune both. The
-catalog is one small JSON folder a projection, under the catalog's root; a refresh
-without order key writes a new version beside the old one and then points the catalog
-entry to it.
+catalog is one small JSON folder a projection and a source, under the catalog's root; a
+refresh without order key writes a new version beside the old one and then points the
+catalog entry to it. A refreshed projection is a view under its own name.
+
+Names are not case-sensitive. Rows whose order key is null are in a projection too: as
+no bound tells new ones, a refresh that finds another number of them in the source than
+in the projection writes a new version.
 """
 
 from __future__ import annotations
@@ -18,6 +22,10 @@ from pyspark.sql import functions as F
 from ..sources.tables import write_counted
 
 
+#: Version of a projection that a stream fills.
+STREAMED = "streamed"
+
+
 @dataclass(frozen=True)
 class Projection:
     name: str
@@ -51,32 +59,48 @@ class Catalog:
         path = jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _lines(self, folder: str) -> list[dict]:
+        files, path = self._path(folder)
+        if not files.exists(path) or not len(files.listStatus(path)):
+            return []
+        return [json.loads(row["value"]) for row in self.spark.read.text(f"{self.root}/{folder}/*").collect()]
+
+    def _write_line(self, folder: str, name: str, value: dict) -> None:
+        line = self.spark.createDataFrame([(json.dumps(value),)], "value string")
+        line.coalesce(1).write.mode("overwrite").text(f"{self.root}/{folder}/{name}")
+        self.generation += 1
+
     def _load(self) -> None:
-        files, path = self._path("_catalog")
-        if files.exists(path) and len(files.listStatus(path)):
-            for row in self.spark.read.text(f"{self.root}/_catalog/*").collect():
-                found = json.loads(row["value"])
-                own = Projection(**found | {k: tuple(found[k]) for k in ("vector_columns", "scalar_columns")})
-                self.projections[own.name] = own
+        for found in self._lines("_sources"):
+            self.sources[found["name"]] = found["path"]
+            self.source(found["name"]).createOrReplaceTempView(found["name"])
+        for found in self._lines("_catalog"):
+            own = Projection(**found | {k: tuple(found[k]) for k in ("vector_columns", "scalar_columns")})
+            self.projections[own.name] = own
+            if own.version:
+                self.read(own.name).createOrReplaceTempView(own.name)
 
     def _store(self, projection: Projection) -> Projection:
-        line = self.spark.createDataFrame([(json.dumps(asdict(projection)),)], "value string")
-        line.coalesce(1).write.mode("overwrite").text(f"{self.root}/_catalog/{projection.name}")
+        self._write_line("_catalog", projection.name, asdict(projection))
         self.projections[projection.name] = projection
-        self.generation += 1
         return projection
 
+    def source(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.sources[name.lower()])
+
     def register_source(self, name: str, path: str) -> DataFrame:
         """Names a Parquet table; it becomes a temporary view of the session."""
+        name = name.lower()
         self.sources[name] = path
-        self.generation += 1
-        rows = self.spark.read.parquet(path)
+        self._write_line("_sources", name, {"name": name, "path": path})
+        rows = self.source(name)
         rows.createOrReplaceTempView(name)
         return rows
 
     def create_projection(self, name: str, source: str, vector_columns, scalar_columns=(), order_by: str | None = None) -> Projection:
-        if name in self.projections:
-            raise ValueError(f"projection {name} exists")
+        name, source = name.lower(), source.lower()
+        if name in self.projections or name in self.sources:
+            raise ValueError(f"{name} exists")
         if source not in self.sources:
             raise ValueError(f"no source {source}")
         known = self.spark.read.parquet(self.sources[source]).columns
@@ -90,43 +114,52 @@ class Catalog:
         return self._store(Projection(name, source, tuple(vector_columns), tuple(scalar_columns), order_by))
 
     def data_path(self, name: str) -> str:
-        own = self.projections[name]
+        own = self.projections[name.lower()]
         if own.version is None:
-            raise ValueError(f"projection {name} has not been refreshed")
-        return f"{self.root}/{name}/{own.version}"
+            raise ValueError(f"projection {own.name} has not been refreshed")
+        return f"{self.root}/{own.name}/{own.version}"
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.data_path(name))
+        own = self.projections[name.lower()]
+        schema = self.source(own.source).select(*own.columns).schema if own.source in self.sources else None
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(self.data_path(name))
 
     def refresh(self, name: str) -> int:
         """Appends the source's rows whose order key is greater than any in the
-        projection; without order key, replaces its rows. Returns the rows written."""
-        own = self.projections[name]
-        rows = self.spark.read.parquet(self.sources[own.source]).select(*own.columns)
+        projection; without order key, or where the rows with a null key are not the same
+        number, replaces its rows. Returns the rows written."""
+        own = self.projections[name.lower()]
+        if own.version == STREAMED:
+            raise ValueError(f"projection {own.name} is refreshed as a stream")
+        rows = self.source(own.source).select(*own.columns)
         number = int(own.version[1:]) if own.version else 0
-        version = own.version
-        if own.order_by and version:
-            # From the footers' bounds where the key's type has them.
-            last = self.read(name).agg(F.max(own.order_by).alias("last")).first()["last"]
-            rows = rows.where(F.col(own.order_by) > F.lit(last)) if last is not None else rows
-        elif own.order_by:
-            rows = rows.where(F.col(own.order_by).isNotNull())
-        if not (own.order_by and version):
-            version = f"v{number + 1}"
+        version = f"v{number + 1}"
+        if own.order_by and own.version:
+            # The greatest key comes from the footers' bounds where its type has them.
+            key = F.col(own.order_by)
+            last = self.read(name).agg(F.max(key).alias("last")).first()["last"]
+            lost = [df.where(key.isNull()).count() for df in (rows, self.read(name))]
+            if lost[0] == lost[1]:
+                version = own.version
+                rows = rows.where(key > F.lit(last) if last is not None else key.isNotNull())
         sort = [*own.scalar_columns, *([own.order_by] if own.order_by else [])]
         if sort:
             rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
-        written = write_counted(rows, f"{self.root}/{name}/{version}")
+        written = write_counted(rows, f"{self.root}/{own.name}/{version}")
         self.generation += 1
         if version != own.version:
             self._store(replace(own, version=version))
             if own.version:
-                self._delete(name, own.version)
+                self._delete(own.name, own.version)
+        self.read(name).createOrReplaceTempView(own.name)
         return written
 
     def drop_projection(self, name: str) -> None:
+        name = name.lower()
         del self.projections[name]
         self.generation += 1
+        self.spark.catalog.dropTempView(name)
         self._delete("_catalog", name)
         self._delete(name)
 
