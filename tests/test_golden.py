@@ -3,12 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tileframe.functions import aggregates as A
 from tileframe.functions import expressions as E
 from tileframe.operators import tiles
-from tileframe.operators.windows import Moving
+from tileframe.operators.windows import Moving, Spread, ntile
 
 
 @pytest.fixture(scope="module")
@@ -146,10 +147,44 @@ def test_tiles(s):
     assert text.select(tiles.parse_tile(F.lit("7"), "int", 3)).first()[0] == [7, 7, 7]
 
 
-def test_split_tiles_spread_one_key(s):
-    packed = tiles.pack(s, [], ["at"], ["at"], split=F.col("at") % 3)
-    assert packed.count() == 3
-    assert tiles.unnest(packed, ["at"]).count() == 6
+def test_split_tiles_are_the_same_tiles(s):
+    for size in (2, 4, 64):
+        want = sorted(map(tuple, tiles.pack(s, [], ["at", "x"], ["at"], size=size).collect()))
+        assert sorted(map(tuple, tiles.pack(s, [], ["at", "x"], ["at"], size=size, split=F.floor(F.col("at") / 3)).collect())) == want
+
+
+@pytest.mark.parametrize("rows", [3, 50])
+def test_spread_equals_moving(spark, rows, monkeypatch):
+    """Split partitions, some of them empty or with null keys, give what whole ones give."""
+    monkeypatch.setattr(Spread, "ROWS", rows)
+    df = spark.range(200).selectExpr("id * 3 AS id", "CASE WHEN id % 5 <> 0 THEN id % 3 END AS k", "CASE WHEN id % 4 <> 0 AND id > 20 THEN CAST((id * 7919) % 101 AS DOUBLE) END AS v")
+    spread, whole = Spread(["k"], ["id"], F.floor(F.col("id") / 40)), Moving(["k"], ["id"])
+    got = spread.running(df, {"a": ("count", None), "b": ("count", "v"), "c": ("sum", "v"), "d": ("avg", "v"), "e": ("min", "v"), "f": ("max", "v")})
+    want = df.select("*", whole.mcount(), whole.mcount("v"), whole.msum("v"), whole.mavg("v"), whole.mmin("v"), whole.mmax("v"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    for n in (1, 2, 7, 90):
+        got = spread.moving(df, n, {"a": ("count", "v"), "b": ("sum", "v"), "c": ("max", "v"), "d": ("lag", "v")})
+        want = df.select("*", whole.mcount("v", n), whole.msum("v", n), whole.mmax("v", n), F.lag("v", n - 1).over(whole.spec))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    ties = df.withColumn("u", F.floor(F.col("id") / 7))
+    spec = Window.partitionBy("k").orderBy("u")
+    got = Spread(["k"], ["u"], F.floor(F.col("u") / 10)).ranks(ties)
+    want = ties.select("*", F.rank().over(spec), F.dense_rank().over(spec))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    with pytest.raises(ValueError):
+        Spread([], [], F.lit(0))
+
+
+def test_ntile(spark):
+    for n in (1, 3, 4, 5, 11):
+        df = spark.range(1, n + 1).withColumn("k", F.lit(1))
+        got = df.select(ntile(F.col("id"), F.lit(n), 4).cast("int"), F.ntile(4).over(Window.partitionBy("k").orderBy("id"))).collect()
+        assert all(a == b for a, b in got)
+
+
+def test_legacy_month_buckets(spark):
+    df = spark.createDataFrame([(dt.date(1999, 12, 30),)], "d date")
+    assert tuple(df.select(E.date_bucket("3 months", "d"), E.date_bucket("3 months", "d", legacy=True)).first()) == (dt.date(1999, 10, 1), dt.date(2000, 1, 1))
 
 
 def test_sql_names(spark):
@@ -160,3 +195,15 @@ def test_sql_names(spark):
         time_bucket(INTERVAL '2' MINUTE, TIMESTAMP_NTZ'2018-03-12 10:03:59'), time_micros(TIMESTAMP_NTZ'2018-03-12 10:00:00'),
         date_bucket(7, DATE'1999-12-30'), month_bucket(3, DATE'2018-05-09'), day_number(DATE'2000-02-01')""").first()
     assert tuple(row) == (True, True, None, 16710, (-7 << 32) | 0xFFFFFFFF, dt.datetime(2018, 3, 12, 10, 2), 574164000000000, dt.date(1999, 12, 25), dt.date(2018, 4, 1), 31)
+
+
+def test_betwixt_never_answers_wrong(spark):
+    from tileframe.functions import sql_names
+
+    sql_names.register(spark)
+    row = spark.sql("""SELECT betwixt_long(9007199254740993, 9007199254740992, 9007199254740992), betwixt_decimal(9007199254740993, 0, 9007199254740992),
+        betwixt(2.5, 1, 3), betwixt(NULL, 1, 3), betwixt_double(1e300, 1, 1e301), pack_shorts(-7, -1), interval_ratio(INTERVAL '1' HOUR, INTERVAL '7' SECOND),
+        interval_micros(INTERVAL '1' MINUTE), ifnull_long(NULL, 4), is_null(NULL), wavg_parts(2, 3).product""").first()
+    assert tuple(row) == (False, False, True, None, True, (-7 << 16) | 0xFFFF, 514, 60_000_000, 4, True, 6.0)
+    with pytest.raises(Exception, match="betwixt"):
+        spark.sql("SELECT betwixt(9007199254740993, 9007199254740992, 9007199254740992)").first()

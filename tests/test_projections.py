@@ -224,6 +224,23 @@ def test_csv_import(spark):
     assert spark.read.parquet(f"{root}/out").first()["name"] == "it's"
 
 
+def test_csv_files_of_many_blocks(spark):
+    root = tempfile.mkdtemp(prefix="spark-test-")
+    for name in "ab":
+        with open(f"{root}/{name}.csv", "w") as f:
+            f.write("x\ny\nz\n" + "".join(f"{name};{k};'{k}''s';\"q{k};\"\n" for k in range(20_000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = tables.read_csv(spark, f"{root}/*.csv", "f string, k int, s string, q string", separator=";", skip=3, quote="'\"")
+        assert got.rdd.getNumPartitions() > 4
+        assert got.agg(F.count("*"), F.sum("k"), F.countDistinct("f"), F.count_if(F.col("s") == F.concat(F.col("k"), F.lit("'s"))), F.count_if(F.col("q") == F.concat(F.lit("q"), F.col("k"), F.lit(";")))).first() == (40_000, 2 * sum(range(20_000)), 2, 40_000, 40_000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    with pytest.raises(Exception, match="too many fields"):
+        tables.read_csv(spark, f"{root}/a.csv", "f string, k int", separator=";", skip=3).collect()
+
+
 def test_populate_and_view(spark):
     root = tempfile.mkdtemp(prefix="spark-test-")
     df = spark.range(100).withColumn("v", F.col("id") % 7)

@@ -119,6 +119,16 @@ def interval_micros(i) -> Column:
     return F.timestamp_diff("MICROSECOND", _origin(), _origin() + _col(i))
 
 
+def date_interval(a, b) -> Column:
+    """``a - b`` of two dates as a day-time interval."""
+    return F.make_dt_interval(F.datediff(_col(a), _col(b)))
+
+
+def time_ratio(ts, n) -> Column:
+    """Microseconds from the epoch of a timestamp, divided by a whole number, truncated."""
+    return int_div(micros(ts), n)
+
+
 def micros_interval(n: Column) -> Column:
     """Day-time interval of so many microseconds."""
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (n.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
@@ -167,9 +177,9 @@ def _down(n: Column, width: int, legacy: bool) -> Column:
     return n - n % F.lit(width) if legacy else n - F.pmod(n, F.lit(width))
 
 
-def _month_start(d, months: int) -> Column:
+def _month_start(d, months: int, legacy: bool) -> Column:
     number = (F.year(_col(d)) - 2000) * 12 + F.month(_col(d)) - 1
-    return F.add_months(F.lit(EPOCH_DATE).cast("date"), _down(number, months, False).cast("int"))
+    return F.add_months(F.lit(EPOCH_DATE).cast("date"), _down(number, months, legacy).cast("int"))
 
 
 def time_bucket(width: str, ts, legacy: bool = False) -> Column:
@@ -178,7 +188,7 @@ def time_bucket(width: str, ts, legacy: bool = False) -> Column:
     epoch."""
     months, time = parse_width(width)
     if months:
-        return _month_start(ts, months).cast("timestamp_ntz")
+        return _month_start(ts, months, legacy).cast("timestamp_ntz")
     return from_micros(_down(micros(ts), time, legacy))
 
 
@@ -186,7 +196,7 @@ def date_bucket(width: str, d, legacy: bool = False) -> Column:
     """As ``time_bucket`` for dates; the width is whole days or months."""
     months, time = parse_width(width)
     if months:
-        return _month_start(d, months)
+        return _month_start(d, months, legacy)
     if time % MICROS["day"]:
         raise ValueError("a date bucket is a whole number of days or months")
     return from_day_number(_down(day_number(d), time // MICROS["day"], legacy))

@@ -1,6 +1,9 @@
 """SQL names of the scalar functions: temporary functions whose bodies are SQL, so that
-the optimizer sees through them. Aggregates by time have SQL names of their own already
-(``min_by``, ``max_by``, ``approx_count_distinct``, ``var_pop`` and so on)."""
+the optimizer sees through them. A SQL function has one signature, so names differ by type
+where types must not be widened; ``betwixt`` takes numbers that a DOUBLE holds exactly and
+raises an error beyond. Aggregates by time have SQL names of their own already (``min_by``,
+``max_by``, ``approx_count_distinct``, ``var_pop`` and so on); ``wavg_parts`` gives the
+two terms whose sums make a weighted average."""
 
 from __future__ import annotations
 
@@ -11,7 +14,19 @@ _MICROS = f"timestampdiff(MICROSECOND, {_EPOCH}, {{}})"
 _WIDTH = _MICROS.format(f"{_EPOCH} + width")
 
 FUNCTIONS = {
-    "betwixt(x DOUBLE, low DOUBLE, high DOUBLE) RETURNS BOOLEAN": "x BETWEEN low AND high",
+    "betwixt(x DOUBLE, low DOUBLE, high DOUBLE) RETURNS BOOLEAN": "CASE WHEN greatest(abs(x), abs(low), abs(high)) < 9007199254740992 THEN x BETWEEN low AND high WHEN x IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL THEN raise_error('betwixt: use betwixt_long, betwixt_decimal or betwixt_double for numbers of 2^53 and more') END",
+    "betwixt_double(x DOUBLE, low DOUBLE, high DOUBLE) RETURNS BOOLEAN": "x BETWEEN low AND high",
+    "betwixt_long(x BIGINT, low BIGINT, high BIGINT) RETURNS BOOLEAN": "x BETWEEN low AND high",
+    "betwixt_decimal(x DECIMAL(38,10), low DECIMAL(38,10), high DECIMAL(38,10)) RETURNS BOOLEAN": "x BETWEEN low AND high",
+    "ifnull_text(x STRING, other STRING) RETURNS STRING": "coalesce(x, other)",
+    "ifnull_long(x BIGINT, other BIGINT) RETURNS BIGINT": "coalesce(x, other)",
+    "ifnull_double(x DOUBLE, other DOUBLE) RETURNS DOUBLE": "coalesce(x, other)",
+    "is_null(x STRING) RETURNS BOOLEAN": "x IS NULL",
+    "is_not_null(x STRING) RETURNS BOOLEAN": "x IS NOT NULL",
+    "wavg_parts(price DOUBLE, volume DOUBLE) RETURNS STRUCT<product: DOUBLE, volume: DOUBLE>": "named_struct('product', price * volume, 'volume', CASE WHEN price IS NOT NULL THEN volume END)",
+    "pack_shorts(l INT, r INT) RETURNS INT": "shiftleft(l, 16) | (r & 65535)",
+    "interval_micros(i INTERVAL DAY TO SECOND) RETURNS BIGINT": _MICROS.format(f"{_EPOCH} + i"),
+    "interval_ratio(a INTERVAL DAY TO SECOND, b INTERVAL DAY TO SECOND) RETURNS BIGINT": f"{_MICROS.format(f'{_EPOCH} + a')} DIV {_MICROS.format(f'{_EPOCH} + b')}",
     "betwixt_text(x STRING, low STRING, high STRING) RETURNS BOOLEAN": "x BETWEEN low AND high",
     "betwixt_date(x DATE, low DATE, high DATE) RETURNS BOOLEAN": "x BETWEEN low AND high",
     "betwixt_time(x TIMESTAMP_NTZ, low TIMESTAMP_NTZ, high TIMESTAMP_NTZ) RETURNS BOOLEAN": "x BETWEEN low AND high",

@@ -11,25 +11,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import _col
+from .windows import Spread
 
 TILE = 64
 
 
-def pack(df: DataFrame, keys, columns, order, size: int = TILE, split=None) -> DataFrame:
+def pack(df: DataFrame, keys, columns, order, size: int = TILE, split: Column | None = None) -> DataFrame:
     """keys, tile_id, and an array a column; rows of a key in the order of ``order``.
 
-    A tile has rows of one key only. ``split`` (a column, such as a day of the order)
-    also ends tiles and numbers them anew: it spreads the rows of a frequent key, or of
-    a table without keys, over tasks.
+    A tile has rows of one key only. With ``split``, a column that never falls in that
+    order, the rows of a frequent key, or of a table without keys, are numbered over many
+    tasks (see ``windows.Spread``); tiles are the same.
     """
-    extra = [] if split is None else [_col(split).alias("tile_split")]
-    names = list(keys) + (["tile_split"] if extra else [])
-    rows = df.select(*keys, *extra, *[c for c in columns if c not in keys], *[F.col(c).alias(f"_order{k}") for k, c in enumerate(order)])
-    spec = Window.partitionBy(*names).orderBy(*[f"_order{k}" for k in range(len(order))])
-    at = F.row_number().over(spec) - 1
-    numbered = rows.withColumn("_at", at).withColumn("tile_id", F.call_function("div", F.col("_at"), F.lit(size)))
-    lanes = numbered.groupBy(*names, "tile_id").agg(F.array_sort(F.collect_list(F.struct("_at", *columns))).alias("_lanes"))
-    return lanes.select(*names, "tile_id", *[F.col("_lanes").getField(c).alias(c) for c in columns])
+    rows = df.select(*keys, *[c for c in columns if c not in keys], *[F.col(c).alias(f"_order{k}") for k, c in enumerate(order)], (F.lit(0) if split is None else split).alias("_part"))
+    names = [f"_order{k}" for k in range(len(order))]
+    if split is None:
+        numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*names)))
+    else:
+        numbered = Spread(keys, names, F.col("_part")).numbered(rows, "_at")
+    numbered = numbered.withColumn("tile_id", F.call_function("div", F.col("_at") - 1, F.lit(size)))
+    lanes = numbered.groupBy(*keys, "tile_id").agg(F.array_sort(F.collect_list(F.struct("_at", *columns))).alias("_lanes"))
+    return lanes.select(*keys, "tile_id", *[F.col("_lanes").getField(c).alias(c) for c in columns])
 
 
 def unnest(tiles: DataFrame, columns, where: Column | None = None) -> DataFrame:

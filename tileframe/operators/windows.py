@@ -1,9 +1,9 @@
 """Running and moving window aggregates. An order is required: Spark has no row order
-of its own. Give a partition wherever there is one; without, one task gets all rows."""
+of its own. ``Moving`` gives each partition to one task; ``Spread`` splits partitions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.expressions import _col
@@ -46,3 +46,86 @@ class Moving:
     def lag(self, x, offset: int = 1) -> Column:
         """Value of the previous row, NULL if that was."""
         return F.lag(_col(x), offset).over(self.spec)
+
+
+class Spread:
+    """The same results over partitions of any size, a frequent key's or the whole table's.
+
+    ``split`` is a column that never falls in the order of ``order``, such as a day of a
+    timestamp or a number divided by a constant. Rows are dealt by partition and split;
+    only one row of totals a split meets in the window over a whole partition.
+    """
+
+    #: Rows that ``moving`` deals to a task at a time.
+    ROWS = 65_536
+
+    def __init__(self, partition, order, split: Column):
+        if not order:
+            raise ValueError("a window needs an order")
+        self.partition, self.order, self.split = list(partition), list(order), split
+
+    def _with_earlier(self, df: DataFrame, totals: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
+        """Adds ``_split`` and, for each split's totals, what ``carry`` makes of those of
+        the earlier splits."""
+        rows = df.withColumn("_split", self.split)
+        earlier = Window.partitionBy(*self.partition).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+        sums = rows.groupBy(*self.partition, "_split").agg(*[c.alias(n) for n, c in totals.items()])
+        sums = sums.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate([*self.partition, "_split"])], *[c.over(earlier).alias(n) for n, c in carry.items()])
+        same = [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate([*self.partition, "_split"])]
+        return rows.join(sums, same).drop(*[f"_k{k}" for k in range(len(same))])
+
+    def running(self, df: DataFrame, wanted: dict[str, tuple]) -> DataFrame:
+        """Adds the columns of ``wanted``: name -> (count, sum, avg, min or max; column, or
+        None to count rows) from the first row to the current one."""
+        parts: dict[str, tuple] = {}
+        for name, (kind, x) in wanted.items():
+            for own in ("sum", "count") if kind == "avg" else (kind,):
+                parts[f"_{name}_{own}"] = (own, F.lit(1) if x is None else _col(x).cast("double") if kind == "avg" else _col(x))
+        merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+        plain = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+        totals = {n: plain[kind](x) for n, (kind, x) in parts.items()}
+        rows = self._with_earlier(df, totals, {n: merge[kind](F.col(n)) for n, (kind, _) in parts.items()})
+        inside = Window.partitionBy(*self.partition, "_split").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = {
+            "count": lambda a, b: F.coalesce(a, F.lit(0)) + b, "sum": lambda a, b: F.coalesce(a + b, a, b),
+            "min": F.least, "max": F.greatest,
+        }
+        found = {n: both[kind](F.col(n), plain[kind](x).over(inside)) for n, (kind, x) in parts.items()}
+        out = {name: F.try_divide(found[f"_{name}_sum"], found[f"_{name}_count"]) if kind == "avg" else found[f"_{name}_{kind}"] for name, (kind, _) in wanted.items()}
+        return rows.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+
+    def numbered(self, df: DataFrame, name: str = "row_number") -> DataFrame:
+        """Adds the number of the row in its partition, from 1."""
+        return self.running(df, {name: ("count", None)})
+
+    def moving(self, df: DataFrame, n: int, wanted: dict[str, tuple]) -> DataFrame:
+        """As ``running`` over the last ``n`` rows; (lag, column) is the value n - 1 rows
+        before. Rows are numbered and dealt in runs, each with the n - 1 rows before it."""
+        if n < 1:
+            raise ValueError("a moving window has at least one row")
+        size = max(self.ROWS, n)
+        at, run = F.col("_at") - 1, F.call_function("div", F.col("_at") - 1, F.lit(size))
+        own, next_one = F.struct(run.alias("run"), F.lit(True).alias("own")), F.struct((run + 1).alias("run"), F.lit(False).alias("own"))
+        dealt = F.when(at % size >= size - (n - 1), F.array(own, next_one)).otherwise(F.array(own))
+        rows = self.numbered(df, "_at").withColumn("_to", F.explode(dealt))
+        spec = Window.partitionBy(*self.partition, "_to.run").orderBy("_at")
+        frame = spec.rowsBetween(1 - n, Window.currentRow)
+        made = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
+        out = [(F.lag(_col(x), n - 1).over(spec) if kind == "lag" else made[kind](F.lit(1) if x is None else _col(x)).over(frame)).alias(name) for name, (kind, x) in wanted.items()]
+        return rows.select(*df.columns, "_to", *out).where("_to.own").drop("_to")
+
+    def ranks(self, df: DataFrame) -> DataFrame:
+        """Adds ``rank`` and ``dense_rank`` by the order; rows that tie have one split."""
+        rows = self._with_earlier(df, {"_n": F.count("*"), "_d": F.countDistinct(*self.order)}, {"_n": F.sum("_n"), "_d": F.sum("_d")})
+        inside = Window.partitionBy(*self.partition, "_split").orderBy(*self.order)
+        add = lambda name, f: (F.coalesce(F.col(name), F.lit(0)) + f().over(inside))
+        return rows.select(*df.columns, add("_n", F.rank).alias("rank"), add("_d", F.dense_rank).alias("dense_rank"))
+
+
+def ntile(number: Column, of: Column, tiles: int) -> Column:
+    """Bucket, from 1, of the row with this number among ``of`` rows, in ``tiles`` buckets
+    whose sizes differ by one at most, larger ones first."""
+    small, larger = F.call_function("div", of, F.lit(tiles)), of % tiles
+    first = larger * (small + 1)
+    later = larger + F.call_function("div", number - first - 1, F.greatest(small, F.lit(1))) + 1
+    return F.when(number <= first, F.call_function("div", number - 1, small + 1) + 1).otherwise(later)

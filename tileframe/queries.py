@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import aggregates as A
 from .functions import expressions as E
 from .operators import tiles
-from .operators.windows import Moving
+from .operators.windows import Spread, ntile
 from .plans.projections import Catalog
 from .plans.substitution import Engine
 from .sources import tables
@@ -42,6 +42,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"spark-{name}-")
 
 
@@ -126,6 +128,13 @@ def date_arith(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", number.alias("day_no"), E.int_div(number, 30).alias("month30"), (number % 30).alias("rest30"), E.from_day_number(number + 45).alias("due"))
 
 
+@query("""SELECT o_orderkey, to_days(CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER)) > INTERVAL 365 DAYS AS later,
+(epoch_us(o_orderdate) - epoch_us(TIMESTAMP '2000-01-01')) // 86400000000 AS days FROM orders""")
+def date_interval_arith(spark, sf_dir):
+    since = E.date_interval(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", (since > F.expr("INTERVAL '365' DAY")).alias("later"), E.time_ratio("o_orderdate", F.lit(86_400_000_000)).alias("days"))
+
+
 @query("""SELECT event_id, epoch_us(ts) - epoch_us(TIMESTAMP '2000-01-01') AS us, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS since,
 epoch_us(ts + INTERVAL 90 MINUTE) - epoch_us(TIMESTAMP '2000-01-01') AS later_us, (epoch_us(ts) - epoch_us(TIMESTAMP '2000-01-01')) % 1000000 AS rest FROM events""")
 def ts_arith(spark, sf_dir):
@@ -300,37 +309,64 @@ def agg_grouping_sets(spark, sf_dir):
     return li.groupingSets([[flags[0]], [flags[1]], []], *flags).agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
 
 
-# Windows. In order of event_id, which is unique.
+# Windows. In order of event_id, which is unique, and split by it: few event types hold
+# all rows.
 
+SPLIT = 65_536
 
-def _w(partition="event_type"):
-    return Moving([partition], ["event_id"])
 
+def _by_type(order="event_id") -> Spread:
+    return Spread(["event_type"], [order], F.call_function("div", F.col(order.removeprefix("-")), F.lit(SPLIT)))
 
-@query(f"""SELECT event_id, count(*) OVER w AS mcount_rows, count(v) OVER w AS mcount, round(sum(v) OVER w, 2) AS msum, avg(round(v * 100)) OVER w AS mavg_cents, min(v) OVER w AS mmin, max(v) OVER w AS mmax
+
+@query(f"""SELECT event_id, count(*) OVER w AS mcount_rows, count(v) OVER w AS mcount, round(sum(v) OVER w, 2) AS msum,
+avg(round(v * 100)) OVER w AS mavg_cents, min(v) OVER w AS mmin, max(v) OVER w AS mmax
 FROM {NULLABLE} WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def win_running(spark, sf_dir):
-    w = _w()
-    return _nullable(spark, sf_dir).select("event_id", w.mcount().alias("mcount_rows"), w.mcount("v").alias("mcount"), F.round(w.msum("v"), 2).alias("msum"), w.mavg(F.round(F.col("v") * 100)).alias("mavg_cents"), w.mmin("v").alias("mmin"), w.mmax("v").alias("mmax"))
+    wanted = {
+        "mcount_rows": ("count", None), "mcount": ("count", "v"), "msum": ("sum", "v"),
+        "mavg_cents": ("avg", F.round(F.col("v") * 100)), "mmin": ("min", "v"), "mmax": ("max", "v"),
+    }
+    found = _by_type().running(_nullable(spark, sf_dir), wanted)
+    return found.withColumn("msum", F.round("msum", 2)).select("event_id", *wanted)
 
 
 @query(f"""SELECT event_id, round(sum(v) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 2) AS msum10,
 round(sum(v) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW), 2) AS msum64 FROM {NULLABLE}""")
 def win_msum_n(spark, sf_dir):
-    w = _w()
-    return _nullable(spark, sf_dir).select("event_id", F.round(w.msum("v", 10), 2).alias("msum10"), F.round(w.msum("v", 64), 2).alias("msum64"))
+    w = _by_type()
+    found = w.moving(w.moving(_nullable(spark, sf_dir), 10, {"msum10": ("sum", "v")}), 64, {"msum64": ("sum", "v")})
+    return found.select("event_id", F.round("msum10", 2).alias("msum10"), F.round("msum64", 2).alias("msum64"))
 
 
 @query(f"SELECT event_id, round(v - lag(v) OVER (PARTITION BY event_type ORDER BY event_id), 4) AS delta FROM {NULLABLE}")
 def win_lag_delta(spark, sf_dir):
-    return _nullable(spark, sf_dir).select("event_id", F.round(F.col("v") - _w().lag("v"), 4).alias("delta"))
+    found = _by_type().moving(_nullable(spark, sf_dir), 2, {"before": ("lag", "v")})
+    return found.select("event_id", F.round(F.col("v") - F.col("before"), 4).alias("delta"))
 
 
-@query("""SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER (PARTITION BY event_type ORDER BY user_id) AS INTEGER) AS rk, CAST(dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS INTEGER) AS dr,
-lead(value) OVER w AS next_value, CAST(ntile(4) OVER w AS INTEGER) AS quarter, first_value(value) OVER w AS first_value FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""")
+@query("""SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER (PARTITION BY event_type ORDER BY user_id) AS INTEGER) AS rk,
+CAST(dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS INTEGER) AS dr, lead(value) OVER w AS next_value,
+CAST(ntile(4) OVER w AS INTEGER) AS quarter, first_value(value) OVER w AS first_value FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""")
 def win_rank_lead(spark, sf_dir):
-    w, by_user = Window.partitionBy("event_type").orderBy("event_id"), Window.partitionBy("event_type").orderBy("user_id")
-    return _t(spark, sf_dir, "events").select("event_id", F.row_number().over(w).alias("rn"), F.rank().over(by_user).alias("rk"), F.dense_rank().over(by_user).alias("dr"), F.lead("value").over(w).alias("next_value"), F.ntile(4).over(w).alias("quarter"), F.first("value").over(w).alias("first_value"))
+    ev = _t(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "value")
+    types = ev.groupBy("event_type").agg(F.count("*").alias("of"), F.min_by("value", "event_id").alias("first_value"))
+    by_user = Spread(["event_type"], ["user_id"], F.call_function("div", F.col("user_id"), F.lit(SPLIT)))
+    back = Spread(["event_type"], [F.desc("event_id")], -F.call_function("div", F.col("event_id"), F.lit(SPLIT)))
+    rows = back.moving(by_user.ranks(_by_type().numbered(ev, "rn")), 2, {"next_value": ("lag", "value")}).join(types, "event_type")
+    return rows.select(
+        "event_id", F.col("rn").cast("int").alias("rn"), F.col("rank").cast("int").alias("rk"), F.col("dense_rank").cast("int").alias("dr"),
+        "next_value", ntile(F.col("rn"), F.col("of"), 4).cast("int").alias("quarter"), "first_value",
+    )
+
+
+@query("""SELECT o_orderkey, nth_value(o_totalprice, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_price,
+round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW), 2) AS last_90_days FROM orders""")
+def win_nth_range(spark, sf_dir):
+    """Partitions are customers, so a window a task holds few rows."""
+    by_key = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_time = Window.partitionBy("o_custkey").orderBy(E.micros("o_orderdate")).rangeBetween(-90 * E.MICROS["day"], 0)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.nth_value("o_totalprice", 2).over(by_key).alias("second_price"), F.round(F.sum("o_totalprice").over(by_time), 2).alias("last_90_days"))
 
 
 # Buckets
@@ -379,13 +415,15 @@ FROM customer, orders, lineitem, supplier, nation, region
 WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey
 AND r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY n_name ORDER BY revenue DESC""")
 def q5_star_join(spark, sf_dir):
+    """The one selective dimension first: lineitem meets the suppliers of the region, then the
+    orders of the period, then the customers of the supplier's nation."""
     c, o, li, s, n, r = (_t(spark, sf_dir, x) for x in ("customer", "orders", "lineitem", "supplier", "nation", "region"))
     window = (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
     nations = n.join(r.where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    suppliers = s.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    buyers = o.where(window).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    sold = li.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-    return sold.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")).orderBy(F.desc("revenue"))
+    suppliers = s.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
+    sold = li.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(o.where(window), F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = sold.join(c, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
+    return bought.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")).orderBy(F.desc("revenue"))
 
 
 @query("""SELECT s_nationkey, sum(l_quantity) AS qty, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey ORDER BY qty DESC, s_nationkey LIMIT 5""")
@@ -410,9 +448,22 @@ def join_semi(spark, sf_dir):
     return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def join_anti(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    dear = _t(spark, sf_dir, "orders").where("o_totalprice > 450000")
+    return _t(spark, sf_dir, "customer").join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT n_name, s_suppkey FROM (SELECT * FROM supplier WHERE s_acctbal > 9000) RIGHT JOIN nation ON s_nationkey = n_nationkey")
+def join_right(spark, sf_dir):
+    rich = _t(spark, sf_dir, "supplier").where("s_acctbal > 9000")
+    return rich.join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "right").select("n_name", "s_suppkey")
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def join_cross(spark, sf_dir):
+    """Region and nation have a fixed number of rows."""
+    return _t(spark, sf_dir, "region").crossJoin(_t(spark, sf_dir, "nation")).select("r_name", "n_name")
 
 
 @query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -456,9 +507,10 @@ def set_intersect(spark, sf_dir):
     return a.intersect(b)
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9500")
 def set_except(spark, sf_dir):
-    return _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(_t(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_nationkey"))
+    rich = _t(spark, sf_dir, "supplier").where("s_acctbal > 9500").select("s_nationkey")
+    return _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(rich)
 
 
 CTE = """WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey)
@@ -487,7 +539,11 @@ def exists_subquery(spark, sf_dir):
 
 
 def _tiles(spark, sf_dir) -> DataFrame:
-    return tiles.pack(_nullable(spark, sf_dir), ["event_type"], ["event_id", "v"], ["event_id"])
+    return tiles.pack(_nullable(spark, sf_dir), ["event_type"], ["event_id", "v"], ["event_id"], split=_tile_split())
+
+
+def _tile_split():
+    return F.call_function("div", F.col("event_id"), F.lit(SPLIT))
 
 
 @query(f"SELECT event_type, event_id, v FROM {NULLABLE}")
@@ -508,10 +564,27 @@ def tile_zone_map(spark, sf_dir):
 CAST(count(*) AS INTEGER) AS lanes FROM {TILED} GROUP BY ALL""")
 def tile_format(spark, sf_dir):
     ev = _t(spark, sf_dir, "events").withColumn("id", F.when(F.col("event_id") % 3 != 0, F.col("event_id")))
-    text = tiles.pack(ev, ["event_type"], ["id"], ["event_id"]).select("event_type", "tile_id", tiles.format_tile("id").alias("tile"))
+    text = tiles.pack(ev, ["event_type"], ["id"], ["event_id"], split=_tile_split()).select("event_type", "tile_id", tiles.format_tile("id").alias("tile"))
     return text.withColumn("lanes", F.size(tiles.parse_tile("tile", "bigint")))
 
 
+@query(f"SELECT event_type, event_id, v FROM {NULLABLE} WHERE v > 90 ORDER BY v DESC, event_id LIMIT 25")
+def tile_limit(spark, sf_dir):
+    """Order and limit over unpacked rows."""
+    rows = tiles.unnest(_tiles(spark, sf_dir), ["event_id", "v"], F.col("v") > 90)
+    return rows.select("event_type", "event_id", "v").orderBy(F.desc("v"), "event_id").limit(25)
+
+
+@query("""SELECT n_name, count(*) AS n, sum(l_quantity) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+WHERE l_quantity > 25 GROUP BY n_name""")
+def tile_join(spark, sf_dir):
+    """Joins over unpacked rows; tiles of a supplier, whose rows are few."""
+    packed = tiles.pack(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_quantity"], ["l_orderkey", "l_linenumber"])
+    sold = tiles.unnest(packed, ["l_quantity"], F.col("l_quantity") > 25).join(_t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    named = sold.join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return named.groupBy("n_name").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+
+
 # Projections
 
 
@@ -523,12 +596,20 @@ def _engine(spark, sf_dir, source, vectors, scalars, order_by=None) -> Engine:
     return Engine(catalog, substitute=True)
 
 
+def _substituted(engine: Engine, text: str) -> DataFrame:
+    """The query's rows, from a projection or not at all."""
+    found = engine.explain_substitution(text)
+    if "-> own" not in found:
+        raise AssertionError(found)
+    return engine.sql(text)
+
+
 Q1_VECTORS = ["l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query(Q1_SQL)
 def projection_q1(spark, sf_dir):
-    return _engine(spark, sf_dir, "lineitem", Q1_VECTORS, ["l_returnflag", "l_linestatus"]).sql(Q1_TEXT)
+    return _substituted(_engine(spark, sf_dir, "lineitem", Q1_VECTORS, ["l_returnflag", "l_linestatus"]), Q1_TEXT)
 
 
 RANGE = "SELECT l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-05-01' GROUP BY l_linestatus"
@@ -537,7 +618,7 @@ RANGE = "SELECT l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineite
 @query(RANGE)
 def projection_range(spark, sf_dir):
     engine = _engine(spark, sf_dir, "lineitem", ["l_shipdate", "l_quantity"], ["l_linestatus"], "l_shipdate")
-    return engine.sql(RANGE.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
+    return _substituted(engine, RANGE.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
 
 
 JOINED = "SELECT s_nationkey, sum(l_quantity) AS qty, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey"
@@ -547,7 +628,35 @@ JOINED = "SELECT s_nationkey, sum(l_quantity) AS qty, round(sum(l_extendedprice)
 def projection_join(spark, sf_dir):
     engine = _engine(spark, sf_dir, "lineitem", ["l_quantity", "l_extendedprice"], ["l_suppkey"])
     engine.catalog.register_source("supplier", f"{sf_dir}/supplier.parquet")
-    return engine.sql(JOINED)
+    return _substituted(engine, JOINED)
+
+
+@query("SELECT l_returnflag, sum(l_quantity) AS qty FROM lineitem GROUP BY l_returnflag")
+def projection_by_name(spark, sf_dir):
+    """A refreshed projection is a view under its own name."""
+    engine = _engine(spark, sf_dir, "lineitem", ["l_quantity"], ["l_returnflag"])
+    return engine.spark.sql("SELECT l_returnflag, sum(l_quantity) AS qty FROM own GROUP BY l_returnflag")
+
+
+@query("""SELECT * FROM (VALUES ('summed', 'lineitem -> own'), ('plain', 'none: the query does not aggregate'),
+('lacking', 'none: own: aggregates use l_tax'), ('dropped', 'none: no projection of the sources')) AS t(text, choice)""")
+def projection_explain(spark, sf_dir):
+    """What substitution would do, before and after the projection is dropped."""
+    engine = _engine(spark, sf_dir, "lineitem", ["l_quantity"], ["l_returnflag"])
+    summed = "SELECT l_returnflag, sum(l_quantity) FROM lineitem GROUP BY l_returnflag"
+    texts = {"summed": summed, "plain": "SELECT l_quantity FROM lineitem", "lacking": "SELECT sum(l_tax) FROM lineitem GROUP BY l_returnflag"}
+    rows = [(name, engine.explain_substitution(text)) for name, text in texts.items()]
+    engine.catalog.drop_projection("own")
+    return spark.createDataFrame([*rows, ("dropped", engine.explain_substitution(summed))], "text string, choice string")
+
+
+@query("SELECT 'own' AS name, 'events' AS source, 'value' AS vector_columns, 'event_type' AS scalar_columns, count(*) AS n_rows FROM events")
+def projection_catalog(spark, sf_dir):
+    """The catalog as another session of the same root finds it."""
+    first = _engine(spark, sf_dir, "events", ["value"], ["event_type"]).catalog
+    again = Catalog(spark, first.root)
+    rows = [(p.name, p.source, ",".join(p.vector_columns), ",".join(p.scalar_columns), again.read(p.name).count()) for p in again.projections.values()]
+    return spark.createDataFrame(rows, "name string, source string, vector_columns string, scalar_columns string, n_rows long")
 
 
 @query("""SELECT count(*) FILTER (ts <= TIMESTAMP '2024-01-15') AS first_rows, count(*) FILTER (ts > TIMESTAMP '2024-01-15') AS added_rows, CAST(0 AS BIGINT) AS again_rows, count(*) AS all_rows, round(sum(value), 2) AS total FROM events""")
@@ -597,6 +706,22 @@ def table_statistics(spark, sf_dir):
     return tables.statistics(_t(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag").drop("n_distinct")
 
 
+CSV_TEXT = '''a note
+another
+1;'it''s; fine';1.5
+2;"say ""hi""";
+3;'';2
+4;;3'''
+
+
+@query("SELECT * FROM (VALUES (1, 'it''s; fine', 1.5), (2, 'say \"hi\"', NULL), (3, '', 2.0), (4, NULL, 3.0)) AS t(id, name, x)".replace("1.5", "CAST(1.5 AS DOUBLE)"))
+def csv_two_quotes(spark, sf_dir):
+    """Fields quoted with either character, two lines left out at the start of the file."""
+    path = _scratch(spark, "csv")
+    spark.createDataFrame([(CSV_TEXT,)], "value string").coalesce(1).write.text(f"{path}/in")
+    return tables.read_csv(spark, f"{path}/in", "id int, name string, x double", separator=";", skip=2, quote="\"'")
+
+
 @query()
 def table_sample_stats(spark, sf_dir):
     """A sampling operator: 10 % of the rows."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,21 +39,47 @@ def write_counted(rows: DataFrame, path: str, mode: str = "append") -> int:
 def read_csv(spark: SparkSession, path: str, schema, separator: str = ",", skip: int = 0, quote: str = '"') -> DataFrame:
     """Rows of a CSV file: fields may be quoted, with the quote doubled inside; a missing
     field is NULL, a quoted empty one the empty string. ``skip`` leaves out that many
-    lines at the start of each file. A bad record fails the read.
-
-    Files quoted with both characters are read with ``quote="'"`` and
-    ``quote='"'`` in turn: Spark takes one.
+    lines at the start of each file. ``quote`` has one character, or two of which each
+    field may use either. A record is a line. A bad record fails the read.
     """
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    if skip > 1 or len(quote) > 1:
+        return _parsed(_lines(spark, path, skip), schema, separator, quote)
     # Spark reads an empty string as NULL whether quoted or not, unless it has a name.
     options = {"sep": separator, "quote": quote, "escape": quote, "mode": "FAILFAST", "emptyValue": QUOTED_EMPTY}
-    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     named = [F.when(F.col(f.name) == QUOTED_EMPTY, "").otherwise(F.col(f.name)).alias(f.name) if f.dataType == T.StringType() else F.col(f.name) for f in schema]
-    if skip <= 1:
-        return spark.read.schema(schema).options(header=skip == 1, enforceSchema=True, **options).csv(path).select(*named)
-    # Lines keep their place in the file, so the first ones of each can be told.
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where((F.col("at") >= skip) & (F.col("line") != ""))
-    parsed = F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), options)
-    return lines.select(parsed.alias("row")).select("row.*").select(*named)
+    return spark.read.schema(schema).options(header=skip == 1, enforceSchema=True, **options).csv(path).select(*named)
+
+
+def _lines(spark: SparkSession, path: str, skip: int) -> DataFrame:
+    """``value``: the lines that are not empty, without the first ``skip`` of each file.
+
+    Files are read in blocks by many tasks. The lines of a block are numbered in a row, so
+    the first lines of a file are those of its first block with the least numbers.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    if skip:
+        first = rows.where("block = 0").groupBy("file").agg(F.min("at").alias("first"))
+        rows = rows.join(first, "file").where((F.col("block") > 0) | (F.col("at") >= F.col("first") + skip))
+    return rows.where("value <> ''").select("value")
+
+
+def _parsed(lines: DataFrame, schema: T.StructType, separator: str, quote: str) -> DataFrame:
+    literal = re.escape(separator)
+    quoted = "|".join(f"{q}(?:[^{q}]|{q}{q})*+{q}" for q in map(re.escape, quote))
+    # A separator before each field, the first one too, so that no match is empty.
+    fields = F.regexp_extract_all(F.concat(F.lit(separator), "value"), F.lit(f"{literal}((?:{quoted})|[^{literal}]*+)"), F.lit(1))
+    rows = lines.withColumn("fields", fields)
+    rows = rows.withColumn("fields", F.when(F.size("fields") <= len(schema), F.col("fields")).otherwise(F.raise_error(F.concat(F.lit("too many fields: "), "value"))))
+
+    def plain(field: Column) -> Column:
+        out = F.when(field != "", field)
+        for q in quote:
+            inner = F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit(q * 2), F.lit(q))
+            out = F.when(field.startswith(q) & (F.length(field) > 1), inner).otherwise(out)
+        return out
+
+    return rows.select(*[plain(F.get("fields", F.lit(k))).cast(f.dataType).alias(f.name) for k, f in enumerate(schema)])
 
 
 def import_csv(spark: SparkSession, path: str, destination: str, schema, separator: str = ",", skip: int = 0, quote: str = '"') -> int:
