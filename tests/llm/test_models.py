@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import regex
@@ -327,14 +328,19 @@ def test_toxicity_held_out(spark, sf_mid):
 # Search
 
 
-def brute_top(vectors, top):
-    """vectors: id -> ints."""
+def brute_top(rows, top):
+    """rows: (id or None, ints)."""
     out = []
-    for q, x in vectors.items():
-        if q % metric_tree.EVERY == 0:
-            ranked = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), v) for v, y in vectors.items() if v != q)[:top]
-            out += [(q, k, v, -s) for k, (s, v) in enumerate(ranked, 1)]
-    return sorted(out)
+    for k, (q, x) in enumerate(rows):
+        if q is not None and q % metric_tree.EVERY == 0:
+            scored = [(-sum(a * b for a, b in zip(x, y, strict=False)), v is None, v or 0, v) for j, (v, y) in enumerate(rows) if j != k]
+            out += [(q, at, v, -s) for at, (s, _, _, v) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out, key=str)
+
+
+def searched(df, top=20):
+    found = metric_tree.top_scores(metric_tree.integer_vectors(df), F.col("vec_id") % metric_tree.EVERY == 0, top)
+    return sorted(map(tuple, found.collect()), key=str)
 
 
 @pytest.mark.parametrize(("n", "spread", "top"), [(700, 40, 20), (700, 1, 20), (15, 9, 20), (300, 0, 5)])
@@ -343,32 +349,47 @@ def test_search(spark, n, spread, top, monkeypatch):
     monkeypatch.setattr(metric_tree, "QUERY_ROWS", 10)
     rng = np.random.default_rng(n + spread)
     x = rng.integers(-spread, spread + 1, (n, 6))
-    vectors = {int(k * 2 - 300): [int(a) for a in v] for k, v in enumerate(x)}
-    df = spark.createDataFrame([(k, [a / 64 for a in v]) for k, v in vectors.items()], "vec_id long, embedding array<float>")
-    got = metric_tree.top_scores(metric_tree.integer_vectors(df), F.col("vec_id") % metric_tree.EVERY == 0, top)
-    assert sorted(tuple(r) for r in got.collect()) == brute_top(vectors, top)
+    # Some ids are repeated, some are null.
+    rows = [(None if k % 37 == 5 else int((k - k % 7 // 6) * 2 - 300), [int(a) for a in v]) for k, v in enumerate(x)]
+    df = spark.createDataFrame([(k, [a / 64 for a in v]) for k, v in rows], "vec_id long, embedding array<float>")
+    assert searched(df, top) == brute_top(rows, top)
+
+
+def test_search_equals_sql_with_repeated_ids(spark, tmp_path):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [0.5, 0.5]), (None, [3.0, 0.0]), (40, None), (60, [float("inf"), 0.0]), (20, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duckdb.sql(f"SELECT query_id, rank, vec_id, score FROM ({metric_tree.OP8_SQL})").fetchall()
+    got = metric_tree.op8_top_scores(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert (20, 1, 1, 12288) in want and len(want) == 3 * 6
 
 
 def test_search_prunes():
+    """Clustered vectors: each query opens few of the leaf pages and stays exact."""
     rng = np.random.default_rng(0)
     centers = rng.integers(-900, 900, (40, 8))
     x = (centers[rng.integers(0, 40, 4000)] + rng.integers(-5, 6, (4000, 8))).astype(np.int64)
-    tree = metric_tree.build_tree(np.arange(4000), x)
+    tree = metric_tree.build_tree(x)
     leaves = int(tree["is_leaf"].sum())
     assert leaves > 40 and (tree["last"] - tree["first"])[tree["is_leaf"]].sum() == 4000
-    q, v, s = metric_tree.search(tree, np.arange(3), x[:3], 5)
-    want = np.sort(x[0] @ x[1:].T)[::-1][:5]
-    assert sorted(s[q == 0], reverse=True) == list(want)
+    place = np.argsort(tree["rows"])
+    search = metric_tree.Search(tree, tree["rows"], x[:200], place[:200], 5)
+    q, p, s = search.run()
+    for k in range(200):
+        scores = np.delete(x[k] @ x.T, k)
+        assert sorted(s[q == k], reverse=True) == sorted(scores, reverse=True)[:5]
+    assert search.counts["opened"] < 0.2 * search.counts["pages"]
+    assert search.counts["distances"] < 0.3 * 200 * 4000
 
 
 def test_search_of_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (20, None), (40, [float("nan"), 1.0]), (3, [1.0, None]), (4, [float("inf"), 1.0]), (5, []), (None, [1.0, 1.0]), (6, [1.0]), (7, [2.0, 2.0]), (7, [1.0, 1.0]), (60, [-0.01, 1e9])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("vec", F.lit(2))
-    got = sorted(tuple(r) for r in metric_tree.top_scores(metric_tree.integer_vectors(df), F.col("vec_id") % 20 == 0).collect())
-    vectors = {0: [64, 128], 6: [64, 0], 7: [64, 64], 60: [-1, 64 * 10**9]}
-    assert got == brute_top(vectors, 20)
-    empty = metric_tree.top_scores(metric_tree.integer_vectors(df.limit(0)), F.col("vec_id") % 20 == 0)
-    assert empty.count() == 0
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("vec", F.lit(2)).withColumn("row", F.lit(2))
+    whole = [(0, [64, 128]), (5, []), (None, [64, 64]), (6, [64]), (7, [128, 128]), (7, [64, 64]), (60, [-1, 64 * 10**9])]
+    assert searched(df) == brute_top(whole, 20)
+    assert searched(df.limit(0)) == []
 
 
 # Pieces

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +23,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """A folder of this run in the one that driver and executors share
+    (``spark.checkpoint.dir``); it is deleted when the driver ends.
 
-    Only where the session names none (tests on one machine) a temporary
+    Only where the session names none and runs on this machine alone (tests), a temporary
     folder is made, and put into the session's configuration.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
         folder = "file://" + (made := tempfile.mkdtemp(prefix="spark-shared-"))
         atexit.register(shutil.rmtree, made, True)
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder not in _runs:
+        _runs[folder] = f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
+        atexit.register(_delete, _runs[folder])
+    return _runs[folder]
+
+
+#: Folder of this run by shared folder.
+_runs: dict[str, str] = {}
+
+
+def _delete(path: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception as lost:  # what is left over does no harm
+        warnings.warn(f"{path} is left: {lost}", stacklevel=2)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,7 +63,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once nothing reads it any more."""
+    for table in tables:
+        _delete(table._written_to)
 
 
 def words(text: Column) -> Column:

@@ -30,5 +30,6 @@ def roots(links: DataFrame, name: str) -> DataFrame:
         if before == now:
             break
         before = now
-        edges = common.materialize(_star(_star(edges, True), False), name)
+        done, edges = edges, common.materialize(_star(_star(edges, True), False), name)
+        common.discard(done)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct()
