@@ -13,8 +13,8 @@ d(q, routing object) - radius, that of a page or an entry whose distance has not
 been computed |d(q, parent) - d(object, parent)|: where it cannot reach the k-th
 best score so far, no distance is computed. Bounds and k-th scores are each query's own:
 every query first goes down to one leaf page, then to the pages it may need from its
-best one on, until its next page's bound is below its k-th score. What queries ask of the
-same page in a round is computed together. Ties at the k-th score are kept, so that
+best one on, twice as many in each round, until its next page's bound is below its k-th
+score. What queries ask of the same page in a round is computed together. Ties at the k-th score are kept, so that
 the smaller id wins. ``search`` counts pages and distances that were spared.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part;
@@ -170,6 +170,10 @@ class Search:
             return
         keys = self.scores(which, places) * self.span + (self.span - 1 - self.rank[places])
         keys[self.own[which, None] == places] = self.none
+        better = keys.max(1) > self.best[which].min(1)
+        which, keys = which[better], keys[better]
+        if not len(which):
+            return
         both = np.concatenate([self.best[which], keys], axis=1)
         self.best[which] = np.partition(both, both.shape[1] - self.top, axis=1)[:, -self.top :]
         least = self.best[which].min(1)
@@ -232,36 +236,20 @@ class Search:
         order = np.lexsort((-most, which))
         node, which, gap, most = node[order], which[order], gap[order], most[order]
         starts = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-        ends = np.append(starts[1:], len(which))
+        ends, take = np.append(starts[1:], len(which)), 1
         while len(starts):
-            live = most[starts] >= self.floor[which[starts]]
-            at = starts[live]
+            several = np.minimum(take, ends - starts)
+            at = np.repeat(starts - np.cumsum(several) + several, several) + np.arange(int(several.sum()))
+            at = at[most[at] >= self.floor[which[at]]]
             grouped = at[np.argsort(node[at], kind="stable")]
             for part in np.split(grouped, np.flatnonzero(np.diff(node[grouped])) + 1):
-                if len(part):
+                if len(part := part[most[part] >= self.floor[which[part]]]):
                     self.open_leaf(int(node[part[0]]), which[part], gap[part])
-            starts, ends = starts[live] + 1, ends[live]
+            starts, take = starts + several, 2 * take
             more = starts < ends
             starts, ends = starts[more], ends[more]
-
-
-def _packed(rows, ids, vectors) -> list:
-    """Bytes of rows, ids with null mask, and the vectors in the narrowest type."""
-    import numpy as np
-
-    top = int(np.abs(vectors).max(initial=0))
-    kind = next(k for k in (np.int16, np.int32, np.int64) if top <= np.iinfo(k).max)
-    known = ids.is_valid().to_numpy(zero_copy_only=False)
-    plain = ids.fill_null(0).to_numpy()
-    return [rows.tobytes(), known.astype(np.int8).tobytes() + plain.tobytes(), np.dtype(kind).char.encode() + vectors.astype(kind).tobytes(), len(rows)]
-
-
-def _unpacked(rows: bytes, ids: bytes, vectors: bytes, n: int):
-    import numpy as np
-
-    known = np.frombuffer(ids, np.int8, n).astype(bool)
-    kind = np.dtype(vectors[:1].decode())
-    return np.frombuffer(rows, np.int64), known, np.frombuffer(ids, np.int64, n, n), np.frombuffer(vectors, kind, offset=1).reshape(n, -1).astype(np.int64)
+            live = most[starts] >= self.floor[which[starts]]
+            starts, ends = starts[live], ends[live]
 
 
 def query_blocks(queries: DataFrame) -> DataFrame:
