@@ -1,13 +1,14 @@
 """Stupid-backoff scores of documents, against the counts of all other documents.
 
 Counts cover every document; a document's own n-grams are taken off before it is
-scored. Documents are dealt into blocks by a hash of their id. A block counts its
-n-grams of every order by 64-bit keys and sends each shard (a range of keys) its keys
-and counts, sorted; the shard adds up the blocks' counts, so it holds its part of the
-n-gram count tables, and joins them back to the keys it was sent; the block joins the
-totals to its documents' n-grams and adds up their scores per document. An n-gram
-crosses the network once a block, however often it occurs, so frequent ones are no
-hot keys, and keys travel as differences (5 to 6 bytes).
+scored. Each task packs its documents into compressed blocks of about ``BLOCK_CHARS``
+characters. A block counts its n-grams of every order by 64-bit keys and sends each shard
+(a range of keys, so a hash partition of the n-grams) its keys and counts, sorted; the
+shard adds up the blocks' counts, so it holds its part of the n-gram count tables, and
+joins them back to the keys it was sent; the block joins the totals to its documents'
+n-grams and adds up their scores per document. An n-gram crosses the network once a
+block, however often it occurs, so frequent ones are no hot keys, and keys travel as
+differences (5 to 6 bytes), not as rows.
 
 Score of a word after its n-1 predecessors: count of the n-gram over that of its
 first n-1 words, where the n-gram occurs in another document; else ``BACKOFF`` times
@@ -15,10 +16,10 @@ the score with one predecessor less; a single word's score is its count (one, wh
 other document has it) over the number of words of the other documents. Orders that
 reach before the text's first word are left out without a penalty.
 
-Defined cases: a null or empty text has no words and the score 0, its mean is null;
-with no words outside the document, that number counts as one; repeated ids are
-documents of their own (they share a block); an empty table gives an empty result;
-other columns are ignored.
+Defined cases: a null or empty text has no words and the score 0, its mean is null; a
+very long text is scored whole, in a block of its own; with no words outside the
+document, that number counts as one; rows that repeat an id, or have none, are documents
+of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from . import common, ngrams
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
-BLOCK_DOCS = 2048
+BLOCK_CHARS = 12_000_000
 SHARD_KEYS = 3_000_000
 
 
@@ -121,18 +122,54 @@ def _document_scores(sizes, place, at, totals, n_words: int):
     return np.bincount(doc, scores, len(sizes))
 
 
+def _packed_blocks(batches):
+    """block, docs (bytes): the documents of a task, in its order, in blocks."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
+
+    first, made = TaskContext.get().partitionId() << 32, 0
+    held, size = [], 0
+
+    def block():
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            for part in held:
+                to.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+        start = 0
+        for k, n in enumerate(lengths):
+            if size and size + n > BLOCK_CHARS:
+                held.append(batch.slice(start, k - start))
+                yield block()
+                held, size, start, made = [], 0, k, made + 1
+            size += n
+        held.append(batch.slice(start))
+    if held:
+        yield block()
+
+
+def _documents(packed: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(packed).read_all()
+
+
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of every row."""
     import numpy as np
     import pandas as pd
 
-    size = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_DOCS))
-    shards = 1 << max(0, math.ceil(math.log2(max(1, (size["chars"] or 0) * order / 6 / SHARD_KEYS))))
-    dealt = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
+    chars = docs.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
+    shards = 1 << max(0, math.ceil(math.log2(max(1, chars * order / 6 / SHARD_KEYS))))
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_packed_blocks, "block long, docs binary")
 
     def ask(key, frame: pd.DataFrame) -> pd.DataFrame:
-        sizes, _, _, keys, counts = _block_grams(frame["text"], order)
+        texts = _documents(frame["docs"].iloc[0]).column(1).to_pylist()
+        sizes, _, _, keys, counts = _block_grams(texts, order)
         edges = keys.searchsorted(np.arange(shards, dtype=np.uint64) * np.uint64(2**64 // shards)) if shards > 1 else np.array([0])
         parts = list(zip(edges, np.append(edges[1:], len(keys)), strict=True))
         return pd.DataFrame({"shard": np.arange(shards, dtype=np.int32), "block": key[0], "n_words": int(sizes.sum()), "grams": [_pack(keys[a:b], counts[a:b]) for a, b in parts]})
@@ -148,17 +185,17 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         answers = [_pack_counts(total[inverse[e - len(k) : e]]) for e, (k, _) in zip(ends, parts, strict=True)]
         return pd.DataFrame({"block": frame["block"], "shard": key[0], "totals": answers, "n_words": int(frame["n_words"].sum())})
 
-    def give(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        sizes, place, at, _, _ = _block_grams(texts["text"], order)
+    def give(key, packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        own = _documents(packed["docs"].iloc[0])
+        sizes, place, at, _, _ = _block_grams(own.column(1).to_pylist(), order)
         answers = answers.sort_values("shard")
         totals = np.concatenate([_unpack_counts(t) for t in answers["totals"]])
         found = _document_scores(sizes, place, at, totals, int(answers["n_words"].iloc[0]))
-        return pd.DataFrame({"doc_id": texts["doc_id"], "n_words": sizes, "log_score": found})
+        return pd.DataFrame({"doc_id": own.column(0).to_pandas(integer_object_nulls=True), "n_words": sizes, "log_score": found})
 
-    asked = dealt.groupBy("block").applyInPandas(ask, "shard int, block int, n_words long, grams binary")
-    added = asked.groupBy("shard").applyInPandas(add, "block int, shard int, totals binary, n_words long")
-    scored = dealt.groupBy("block").cogroup(added.groupBy("block")).applyInPandas(give, "doc_id string, n_words long, log_score double")
-    scored = scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+    asked = dealt.groupBy("block").applyInPandas(ask, "shard int, block long, n_words long, grams binary")
+    added = asked.groupBy("shard").applyInPandas(add, "block long, shard int, totals binary, n_words long")
+    scored = dealt.groupBy("block").cogroup(added.groupBy("block")).applyInPandas(give, "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.col("log_score") / F.nullif("n_words", F.lit(0)))
 
 
@@ -169,15 +206,17 @@ def op2_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '{common.WORD_PATTERN}') AS w FROM documents),
-tokens AS (SELECT d, i, w[i] AS w2, CASE WHEN i > 1 THEN w[i - 1] END AS w1 FROM (SELECT d, w, unnest(range(1, len(w) + 1)) AS i FROM docs)),
+tokens AS (
+  SELECT d, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c
+  FROM (SELECT d, w, unnest(range(1, len(w) + 1)) AS i FROM docs)),
 counted AS (
-  SELECT *, count(*) OVER (PARTITION BY w2) - count(*) OVER (PARTITION BY d, w2) AS c2,
-    CASE WHEN w1 IS NOT NULL THEN count(*) OVER (PARTITION BY w1, w2) - count(*) OVER (PARTITION BY d, w1, w2) END AS c12,
+  SELECT *, count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY d, a) AS c1,
+    CASE WHEN b IS NOT NULL THEN count(*) OVER (PARTITION BY a, b) - count(*) OVER (PARTITION BY d, a, b) END AS c2,
+    CASE WHEN c IS NOT NULL THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY d, a, b, c) END AS c3,
     greatest(count(*) OVER () - count(*) OVER (PARTITION BY d), 1) AS outside FROM tokens),
-scored AS (
-  SELECT d, CASE WHEN c12 > 0 THEN ln(c12 / lag(c2) OVER (PARTITION BY d ORDER BY i))
-                 WHEN c12 = 0 THEN ln({BACKOFF}) + ln(greatest(c2, 1) / outside)
-                 ELSE ln(greatest(c2, 1) / outside) END AS s FROM counted)
+one AS (SELECT *, ln(greatest(c1, 1) / outside) AS s1, lag(c1) OVER w AS before1, lag(c2) OVER w AS before2 FROM counted WINDOW w AS (PARTITION BY d ORDER BY i)),
+two AS (SELECT *, CASE WHEN c2 > 0 THEN ln(c2 / before1) WHEN c2 = 0 THEN ln({BACKOFF}) + s1 ELSE s1 END AS s2 FROM one),
+scored AS (SELECT d, CASE WHEN c3 > 0 THEN ln(c3 / before2) WHEN c3 = 0 THEN ln({BACKOFF}) + s2 ELSE s2 END AS s FROM two)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(sum(s), 0), 5) AS log_score,
        round(sum(s) / nullif(len(w), 0), 5) AS mean_log_score
 FROM docs LEFT JOIN scored USING (d) GROUP BY d, doc_id, w
