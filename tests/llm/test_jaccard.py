@@ -92,6 +92,24 @@ def test_large_broadcast_and_shuffle_agree(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize(("seed", "most"), [(4, 2), (5, 5)])
+def test_long_lists_in_blocks(spark, seed, most, monkeypatch):
+    """Near copies of one text and of a second one that shares a passage with it."""
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", most)
+    monkeypatch.setattr(jaccard_join, "PAIR_BATCH", 7)
+    rng = random.Random(seed)
+    rows = near_copies(seed)
+    common_part = [f"p{k}" for k in range(40)]
+    for name in "xy":
+        base = [f"{name}{k}" for k in range(20)] + common_part
+        for _ in range(25):
+            text = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                text[rng.randrange(len(text))] = f"v{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(text)))
+    assert got(spark, rows) == brute(rows)
+
+
 def test_bitmap_bound_holds():
     rng = np.random.default_rng(0)
     for _ in range(200):

@@ -23,12 +23,18 @@ differing bits are at most the size of the symmetric difference. Verification co
 whole sets, so results are exact up to equality of 64-bit hashes.
 
 Exact copies have one set id (a 64-bit hash of the set) and never meet each other in a
-list; a list row is 24 bytes, and no text or set is gathered by shingle. Components are
+list; a list row is 24 bytes, and no text or set is gathered by shingle. A list of more
+than ``LIST_ROWS`` rows is dealt to blocks by a hash of the set id. Its chief, the set at
+the lowest position, leads in every block, so near copies meet one leader; afterwards sets
+of other components than the chief's visit the blocks they are not at home in, so every
+pair that is not settled meets once. Components are
 found in rounds of joins. Nothing that grows with the table goes to the driver; the ids
 of the documents whose sets are compared are broadcast up to ``BROADCAST_IDS`` of them
 and joined by shuffle beyond.
 
-Defined cases: words are lower-cased in A-Z only; a document with fewer than five words
+Defined cases: words are lower-cased in A-Z only; a very long text is one set, compared
+whole; a row without an id has a set like others and names its component only where no
+row has an id; a document with fewer than five words
 has one shingle, the whole sequence; a null or empty text has none, and is its own
 component; rows that repeat an id are rows of the result each, their component that of
 their own text, with the smallest id among its rows; an empty table gives an empty
@@ -51,6 +57,9 @@ SKETCH_BITS = 21
 SKETCH = 1 << SKETCH_BITS
 SKETCH_PARTS = 64
 BROADCAST_IDS = 1_000_000
+LIST_ROWS = 512
+#: Pairs that a task gathers before it hands them on.
+PAIR_BATCH = 65_536
 FACTOR = 0x9E3779B97F4A7C15 | 1
 
 
@@ -130,11 +139,12 @@ def set_id(own) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-SETS_SCHEMA = "doc_id long, sid long, n int, prefix array<long>, bitmap binary"
+SETS_SCHEMA = "doc_id long, sid long, n int, prefix array<long>, light int, bitmap binary"
 
 
 def prefixes(docs: DataFrame, counts) -> DataFrame:
-    """doc_id, sid, n, prefix (rare shingles first), bitmap. Copies of a set in the same
+    """doc_id, sid, n, prefix (rare shingles first), light (how many of them, from the first
+    on, have lists of LIST_ROWS at most for certain), bitmap. Copies of a set in the same
     batch have a null prefix; an empty set has a null sid."""
     import numpy as np
 
@@ -144,7 +154,7 @@ def prefixes(docs: DataFrame, counts) -> DataFrame:
         df = sent.value
         for batch in batches:
             seen: set[int] = set()
-            sids, sizes, fronts, maps = [], [], [], []
+            sids, sizes, fronts, lights, maps = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingles(text)
                 n = len(own)
@@ -153,14 +163,17 @@ def prefixes(docs: DataFrame, counts) -> DataFrame:
                 sizes.append(n)
                 if not n or sid in seen:
                     fronts.append(None)
+                    lights.append(None)
                     maps.append(None)
                     continue
                 seen.add(sid)
-                rare = np.argsort(df[own >> np.uint64(64 - SKETCH_BITS)], kind="stable")
-                fronts.append(own[rare[: prefix_length(n)]].view(np.int64))
+                often = df[own >> np.uint64(64 - SKETCH_BITS)]
+                rare = np.argsort(often, kind="stable")[: prefix_length(n)]
+                fronts.append(own[rare].view(np.int64))
+                lights.append(int((often[rare] <= LIST_ROWS).sum()))
                 maps.append(_bitmap(own))
-            arrays = [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fronts, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sid", "n", "prefix", "bitmap"])
+            arrays = [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fronts, pa.list_(pa.int64())), pa.array(lights, pa.int32()), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sid", "n", "prefix", "light", "bitmap"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS_SCHEMA)
 
@@ -192,39 +205,39 @@ class _Blocks:
 
 
 def led_pairs(n, pos, sid):
-    """(member, leader) positions in one list."""
+    """(members, leader) positions in one list, leader by leader."""
     import numpy as np
 
-    blocks, free, pairs = _Blocks(n, pos), np.ones(len(n), bool), []
+    blocks, free = _Blocks(n, pos), np.ones(len(n), bool)
     for lead in np.lexsort((sid, pos)):
         if not free[lead]:
             continue
         free[lead] = False
-        for start, end in blocks.reach(lead):
-            led = start + np.flatnonzero(free[start:end])
-            free[led] = False
-            pairs += [(x, lead) for x in led]
-    return pairs
+        led = [start + np.flatnonzero(free[start:end]) for start, end in blocks.reach(lead)]
+        if led and len(members := np.concatenate(led)):
+            free[members] = False
+            yield members, lead
 
 
-def unsettled_pairs(n, pos, root, leader, overlap):
-    """Positions of pairs of one list in different components whose leader's answers do
-    not rule them out. Only sets outside the list's largest component probe."""
+def unsettled_pairs(n, pos, root, leader, overlap, home):
+    """(position, positions) of pairs of one list in different components whose leader's
+    answers do not rule them out, one of them at home. Only sets outside the list's largest
+    component probe."""
     import numpy as np
 
     names, which, counts = np.unique(root, return_inverse=True, return_counts=True)
     if len(names) == 1:
-        return []
-    blocks, largest, pairs = _Blocks(n, pos), counts.argmax(), []
+        return
+    blocks, largest = _Blocks(n, pos), counts.argmax()
     for at in np.flatnonzero(which != largest):
         for start, end in blocks.reach(at):
             other = np.arange(start, end)
-            other = other[(which[other] != which[at]) & ((which[other] == largest) | (other > at))]
+            other = other[(which[other] != which[at]) & ((which[other] == largest) | (other > at)) & (home[at] | home[other])]
             if leader[at] != 0 and len(other):
                 most = np.minimum(overlap[other], overlap[at]) + np.minimum(n[other] - overlap[other], n[at] - overlap[at])
                 other = other[(leader[other] != leader[at]) | (most >= least_overlap(n[other].astype(np.int64) + n[at]))]
-            pairs += [(at, o) for o in other]
-    return pairs
+            if len(other):
+                yield at, other
 
 
 def _by_list(batches, width: int):
@@ -276,10 +289,9 @@ def _scan_lists(batches):
         members.append(x[fits])
         leads.append(y[fits])
         for start, end in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-            if pairs := led_pairs(n[start:end], pos[start:end], sid[start:end]):
-                found = start + np.array(pairs)
-                members.append(found[:, 0])
-                leads.append(found[:, 1])
+            for found, lead in led_pairs(n[start:end], pos[start:end], sid[start:end]):
+                members.append(start + found)
+                leads.append(np.full(len(found), start + lead))
         a, b = np.concatenate(members).astype(np.int64), np.concatenate(leads).astype(np.int64)
         rows, pairs = len(token), len(a)
         arrays = [
@@ -296,12 +308,24 @@ def _scan_settled(batches):
     """Pairs that need a check although their lists' leaders are known."""
     import numpy as np
 
-    for (_, n, pos, sid, root, leader, overlap), starts, ends in _by_list(batches, 7):
+    for (_, n, pos, sid, root, leader, overlap, home), starts, ends in _by_list(batches, 8):
+        held: list = []
+        size = 0
+
+        def pairs():
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))  # noqa: B023
+            return pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b])], ["a", "b"])  # noqa: B023
+
         for start, end in zip(starts, ends, strict=True):
             own = slice(start, end)
-            if pairs := unsettled_pairs(n[own], pos[own], root[own], leader[own], overlap[own]):
-                a, b = (start + np.array(pairs)).T
-                yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b])], ["a", "b"])
+            for at, other in unsettled_pairs(n[own], pos[own], root[own], leader[own], overlap[own], home[own]):
+                held.append((np.full(len(other), start + at), start + other))
+                size += len(other)
+                if size >= PAIR_BATCH:
+                    yield pairs()
+                    held, size = [], 0
+        if held:
+            yield pairs()
 
 
 def _pass_bitmaps(batches):
@@ -338,6 +362,11 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(got, pa.int32())], ["a", "b", "n_a", "n_b", "overlap"])
 
 
+def _home():
+    """Block of a long list where a set is at home."""
+    return F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks")).cast("int")
+
+
 class Join:
     """One run of the join; ``docs`` needs doc_id and text."""
 
@@ -346,7 +375,8 @@ class Join:
         self.own = common.materialize(prefixes(self.docs, sketch(self.docs)), "jaccard-prefixes")
         maps = self.own.filter("prefix IS NOT NULL").select("sid", "n", "bitmap", "doc_id")
         # One row a set: its smallest document that has a bitmap, by which its text is found.
-        self.sets = maps.groupBy("sid").agg(F.min(F.struct("doc_id", "n", "bitmap")).alias("s")).select("sid", "s.doc_id", "s.n", "s.bitmap")
+        sets = maps.groupBy("sid").agg(F.min(F.struct("doc_id", "n", "bitmap")).alias("s")).select("sid", "s.doc_id", "s.n", "s.bitmap")
+        self.sets = common.materialize(sets, "jaccard-sets")
 
     def _permitted(self, pairs: DataFrame) -> DataFrame:
         side = lambda s: self.sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"map_{s}"))
@@ -372,11 +402,32 @@ class Join:
         both = pairs.join(elements.select(F.col("sid").alias("a"), F.col("elements").alias("x")), "a").join(elements.select(F.col("sid").alias("b"), F.col("elements").alias("y")), "b")
         return common.materialize(both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_overlaps, "a long, b long, n_a int, n_b int, overlap int"), name)
 
+    def _long_lists(self) -> tuple[DataFrame, DataFrame]:
+        """Rows of the lists (token, n, pos, sid, light), and token, blocks, chief of those
+        that are dealt to blocks."""
+        rows = self.own.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "n", "sid", "light")
+        sizes = rows.filter("pos >= light").groupBy("token").agg(F.count("*").alias("of"), F.min(F.struct("pos", "sid", "n")).alias("chief"))
+        long = sizes.filter(F.col("of") > LIST_ROWS).select("token", F.ceil(F.col("of") / LIST_ROWS).cast("int").alias("blocks"), "chief")
+        long = common.materialize(long, "jaccard-long")
+        return rows, F.broadcast(long) if long.count() <= BROADCAST_IDS else long
+
+    def _visits(self, rows: DataFrame, long: DataFrame, state: DataFrame) -> DataFrame:
+        """Sets of long lists outside the chief's component, at each block but their own."""
+        chiefs = long.select("token", F.col("chief.sid").alias("sid")).join(state, "sid", "left").select("token", F.coalesce("root", "sid").alias("chief_root"))
+        known = rows.filter("pos >= light").join(long.select("token", "blocks"), "token").join(state, "sid", "left").join(chiefs, "token")
+        block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        others = known.filter(F.coalesce("root", "sid") != F.col("chief_root")).select("*", block).filter(F.col("block") != _home())
+        return others.select(F.xxhash64("token", "block").alias("token"), "n", "pos", "sid", "root", "leader", "overlap", F.lit(False).alias("home"))
+
     def links(self) -> DataFrame:
         """a, b, overlap, n_a, n_b: verified links between sets, enough to connect every
         pair of linked sets (links inside a component are not all listed)."""
-        rows = self.own.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "n", "sid")
-        dealt = rows.select("token", "n", "pos", "sid").repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
+        rows, long = self._long_lists()
+        at = F.when(F.col("blocks").isNull(), F.col("token")).otherwise(F.xxhash64("token", _home()))
+        dealt = rows.join(long.select("token", "blocks"), "token", "left").select(at.alias("token"), "n", "pos", "sid")
+        chiefs = long.select("token", "chief", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        dealt = dealt.union(chiefs.select(F.xxhash64("token", "block"), "chief.n", "chief.pos", "chief.sid"))
+        dealt = dealt.repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
         scanned = common.materialize(dealt.mapInArrow(_scan_lists, LISTS_SCHEMA), "jaccard-lists")
         led = scanned.filter("leader IS NOT NULL").groupBy(F.col("sid").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("met"))
         led = common.materialize(led, "jaccard-led")
@@ -393,9 +444,11 @@ class Join:
         selves = first.select(F.col("b").alias("sid"), F.col("b").alias("leader"), F.col("n_b").alias("overlap"), F.lit(0).alias("order"))
         answers = known.union(selves).groupBy("sid").agg(F.min(F.struct("order", "leader", "overlap")).alias("s")).select("sid", "s.leader", "s.overlap")
         state = answers.join(roots.withColumnRenamed("id", "sid"), "sid", "full")
-        entries = scanned.filter("leader IS NULL").drop("leader").join(common.materialize(state, "jaccard-state"), "sid", "left")
-        entries = entries.select("token", "n", "pos", "sid", F.coalesce("root", "sid").alias("root"), F.coalesce("leader", F.lit(0)).alias("leader"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
-        left = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(_scan_settled, "a long, b long")
+        state = common.materialize(state, "jaccard-state")
+        entries = scanned.filter("leader IS NULL").drop("leader").join(state, "sid", "left").withColumn("home", F.lit(True))
+        entries = entries.unionByName(self._visits(rows, long, state))
+        entries = entries.select("token", "n", "pos", "sid", F.coalesce("root", "sid").alias("root"), F.coalesce("leader", F.lit(0)).alias("leader"), F.coalesce("overlap", F.lit(0)).alias("overlap"), "home")
+        left = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "sid", F.desc("home")).mapInArrow(_scan_settled, "a long, b long")
         left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         rest = self._permitted(common.materialize(left.join(done, ["a", "b"], "left_anti"), "jaccard-left"))

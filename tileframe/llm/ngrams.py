@@ -11,10 +11,11 @@ def word_hashes(texts):
     import numpy as np
     import xxhash
 
-    words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for own in words for w in own), np.uint64, int(sizes.sum()))
-    return hashes, sizes
+    parts = []
+    for t in texts:  # one text's words at a time, as they take far more room than hashes
+        words = (t or "").encode("utf-8", "surrogatepass").split()
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+    return np.concatenate([np.empty(0, np.uint64), *parts]), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def mix(x):
