@@ -47,6 +47,8 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.sources: dict[str, str] = {}
+        #: Sources as they were registered.
+        self.views: dict[str, DataFrame] = {}
         self.projections: dict[str, Projection] = {}
         #: Counts changes of sources and projections, refreshes among them.
         self.generation = 0
@@ -73,7 +75,7 @@ class Catalog:
     def _load(self) -> None:
         for found in self._lines("_sources"):
             self.sources[found["name"]] = found["path"]
-            self.source(found["name"]).createOrReplaceTempView(found["name"])
+            self._show(found["name"])
         for found in self._lines("_catalog"):
             own = Projection(**found | {k: tuple(found[k]) for k in ("vector_columns", "scalar_columns")})
             self.projections[own.name] = own
@@ -93,7 +95,10 @@ class Catalog:
         name = name.lower()
         self.sources[name] = path
         self._write_line("_sources", name, {"name": name, "path": path})
-        rows = self.source(name)
+        return self._show(name)
+
+    def _show(self, name: str) -> DataFrame:
+        rows = self.views[name] = self.source(name)
         rows.createOrReplaceTempView(name)
         return rows
 
@@ -132,7 +137,8 @@ class Catalog:
         own = self.projections[name.lower()]
         if own.version == STREAMED:
             raise ValueError(f"projection {own.name} is refreshed as a stream")
-        rows = self.source(own.source).select(*own.columns)
+        # The source's view lists its files again too, so both show the same rows.
+        rows = self._show(own.source).select(*own.columns)
         number = int(own.version[1:]) if own.version else 0
         version = f"v{number + 1}"
         if own.order_by and own.version:
