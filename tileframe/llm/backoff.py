@@ -8,7 +8,9 @@ shard adds up the blocks' counts, so it holds its part of the n-gram count table
 joins them back to the keys it was sent; the block joins the totals to its documents'
 n-grams and adds up their scores per document. An n-gram crosses the network once a
 block, however often it occurs, so frequent ones are no hot keys, and keys travel as
-differences (5 to 6 bytes), not as rows.
+differences (5 to 6 bytes), not as rows. A block sends nothing to a shard it has no key
+of, so there are never more messages than n-grams of blocks: they grow with the corpus,
+not with blocks times shards.
 
 Score of a word after its n-1 predecessors: count of the n-gram over that of its
 first n-1 words, where the n-gram occurs in another document; else ``BACKOFF`` times
@@ -37,39 +39,35 @@ BLOCK_CHARS = 12_000_000
 SHARD_KEYS = 3_000_000
 
 
-def _pack(keys, counts) -> bytes:
+def _pack(keys, counts, zstd) -> bytes:
     """Sorted keys as differences, byte by byte, and counts; compressed."""
     import numpy as np
-    import zstandard
 
     steps = np.diff(keys, prepend=np.uint64(0))
     planes = steps.view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(keys)).tobytes() + planes.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstd.compress(np.int64(len(keys)).tobytes() + planes.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _unpack(data: bytes):
+def _unpack(data: bytes, zstd):
     import numpy as np
-    import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = zstd.decompress(data)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view(np.uint64).ravel()
     counts = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8 + 8 * n).reshape(4, n).T).view(np.uint32).ravel()
     return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
 
 
-def _pack_counts(counts) -> bytes:
+def _pack_counts(counts, zstd) -> bytes:
     import numpy as np
-    import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstd.compress(np.ascontiguousarray(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _unpack_counts(data: bytes):
+def _unpack_counts(data: bytes, zstd):
     import numpy as np
-    import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(zstd.decompress(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
 
 
@@ -162,8 +160,10 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of every row."""
     import numpy as np
     import pandas as pd
+    import zstandard
 
-    chars = docs.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
+    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.sum(common.n_words("text")).alias("words")).first()
+    chars, n_words = size["chars"] or 0, size["words"] or 0
     shards = 1 << max(0, math.ceil(math.log2(max(1, chars * order / 6 / SHARD_KEYS))))
     dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_packed_blocks, "block long, docs binary")
 
@@ -171,30 +171,34 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         texts = _documents(frame["docs"].iloc[0]).column(1).to_pylist()
         sizes, _, _, keys, counts = _block_grams(texts, order)
         edges = keys.searchsorted(np.arange(shards, dtype=np.uint64) * np.uint64(2**64 // shards)) if shards > 1 else np.array([0])
-        parts = list(zip(edges, np.append(edges[1:], len(keys)), strict=True))
-        return pd.DataFrame({"shard": np.arange(shards, dtype=np.int32), "block": key[0], "n_words": int(sizes.sum()), "grams": [_pack(keys[a:b], counts[a:b]) for a, b in parts]})
+        ends = np.append(edges[1:], len(keys))
+        held = np.flatnonzero(ends > edges)
+        zstd = zstandard.ZstdCompressor(level=1)
+        return pd.DataFrame({"shard": held.astype(np.int32), "block": key[0], "grams": [_pack(keys[a:b], counts[a:b], zstd) for a, b in zip(edges[held], ends[held], strict=True)]})
 
     def add(key, frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(g) for g in frame["grams"]]
+        zstd = zstandard.ZstdDecompressor()
+        parts = [_unpack(g, zstd) for g in frame["grams"]]
         keys = np.concatenate([k for k, _ in parts])
         counts = np.concatenate([c for _, c in parts])
         distinct, inverse = np.unique(keys, return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, inverse, counts)
         ends = np.cumsum([len(k) for k, _ in parts])
-        answers = [_pack_counts(total[inverse[e - len(k) : e]]) for e, (k, _) in zip(ends, parts, strict=True)]
-        return pd.DataFrame({"block": frame["block"], "shard": key[0], "totals": answers, "n_words": int(frame["n_words"].sum())})
+        zstd = zstandard.ZstdCompressor(level=1)
+        answers = [_pack_counts(total[inverse[e - len(k) : e]], zstd) for e, (k, _) in zip(ends, parts, strict=True)]
+        return pd.DataFrame({"block": frame["block"], "shard": key[0], "totals": answers})
 
     def give(key, packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         own = _documents(packed["docs"].iloc[0])
         sizes, place, at, _, _ = _block_grams(own.column(1).to_pylist(), order)
-        answers = answers.sort_values("shard")
-        totals = np.concatenate([_unpack_counts(t) for t in answers["totals"]])
-        found = _document_scores(sizes, place, at, totals, int(answers["n_words"].iloc[0]))
+        zstd = zstandard.ZstdDecompressor()
+        totals = np.concatenate([np.empty(0, np.int64), *[_unpack_counts(t, zstd) for t in answers.sort_values("shard")["totals"]]])
+        found = _document_scores(sizes, place, at, totals, n_words)
         return pd.DataFrame({"doc_id": own.column(0).to_pandas(integer_object_nulls=True), "n_words": sizes, "log_score": found})
 
-    asked = dealt.groupBy("block").applyInPandas(ask, "shard int, block long, n_words long, grams binary")
-    added = asked.groupBy("shard").applyInPandas(add, "block long, shard int, totals binary, n_words long")
+    asked = dealt.groupBy("block").applyInPandas(ask, "shard int, block long, grams binary")
+    added = asked.groupBy("shard").applyInPandas(add, "block long, shard int, totals binary")
     scored = dealt.groupBy("block").cogroup(added.groupBy("block")).applyInPandas(give, "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.col("log_score") / F.nullif("n_words", F.lit(0)))
 
