@@ -48,7 +48,7 @@ def brute_backoff(rows, order):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_backoff(spark, odd, order, monkeypatch):
     monkeypatch.setattr(backoff, "BLOCK_CHARS", 40)
-    monkeypatch.setattr(backoff, "SHARD_KEYS", 10)  # most blocks have no key of most shards
+    monkeypatch.setattr(backoff, "SHARD_KEYS", 2_000)  # most blocks have no key of most shards
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(50 + k, "one two three tie tie word1 and word2 and") for k in range(3)]
     docs = odd.select("doc_id", "text", "block").union(spark.createDataFrame([(*r, 1) for r in rows[-3:]], "doc_id long, text string, block int"))
     got = sorted(((r["doc_id"] or 0, r["n_words"], r["log_score"]) for r in backoff.score(docs, order).collect()))
