@@ -4,6 +4,11 @@ again as the next one's documents.
 Quality rules drop documents; of each group of near-duplicates the document with the
 smallest id stays; secrets are replaced by a mask; sources are mixed to their target
 weights (a document may be left out, or come up to three times); texts are encoded.
+
+Defined cases: the base rule of the first stage rejects null, empty and short texts; rows
+with null or repeated ids are rows of their own, of which one stays where their texts link;
+very long texts go through whole; nulls in other columns, and other columns whatever their
+names, are kept up to the last stage; an empty table gives an empty corpus.
 """
 
 from __future__ import annotations

@@ -154,6 +154,46 @@ def test_kneser_ney_sample_is_bounded_in_words(spark, monkeypatch):
     assert all(r["doc_id"] >= 100 or len(r["text"].split()) < 5000 for r in sample)
 
 
+def test_kneser_ney_equals_plain_python(spark, sf_mid, tmp_path):
+    """The whole query against plain code: trusted rows, held-out share, model, limits."""
+    rows = [tuple(r) for r in common.table(spark, sf_mid, "documents").select("doc_id", "lang", "text").collect()]
+    rows += [(90001, None, "words of no language"), (90002, "en", None), (90003, "en", ""), (90004, "xx", "!? " * 3000), rows[0]]
+    votes = [tuple(r) for r in common.table(spark, sf_mid, "labels").select("doc_id", "quality").collect()]
+    votes += [(90001, 1), (90001, 0), (90003, 1), (90004, None), (None, 1), votes[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(votes, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = dict(docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("kn-held")), F.lit(kneser_ney.HELD_SHARE)) == 0).collect())
+    quality = {}
+    for d, q in votes:
+        if d is not None and q is not None:
+            quality[d] = min(q, quality.get(d, 1))
+    good = {d for d, q in quality.items() if q == 1}
+    # So few labelled documents are all in the sample, but for the held-out share.
+    p = plain_kneser_ney([t or "" for d, _, t in rows if d in good and not held[d]])
+
+    def perplexity(text):
+        ws = ["<", "<", *(text or "").split()]
+        return math.exp(-sum(math.log(p(tuple(ws[k - 2 : k + 1]))) for k in range(2, len(ws))) / (len(ws) - 2)) if len(ws) > 2 else None
+
+    scored = [(d, lang, perplexity(t)) for d, lang, t in rows]
+    trusted = {lang: sorted(x for d, of, x in scored if of == lang and d in good and held[d] and x is not None) for lang in {r[1] for r in rows}}
+    pooled = sorted(itertools.chain(*trusted.values()))
+    at = lambda xs: xs[math.ceil(kneser_ney.QUANTILE * len(xs)) - 1]
+    limits = {lang: at(own) if len(own) >= kneser_ney.MIN_TRUSTED else at(pooled) for lang, own in trusted.items()}
+    got = sorted(kneser_ney.op9_quality_perplexity(spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"])
+    assert len(got) == len(rows) and {r["kept"] for r in got} == {True, False}
+    for r, (d, lang, x) in zip(got, sorted(scored, key=lambda s: s[0]), strict=True):
+        assert r["doc_id"] == d
+        if x is None:
+            assert r["perplexity"] is None and not r["kept"]
+        else:
+            assert r["perplexity"] == pytest.approx(x, rel=1e-4)
+            # A document at the limit itself may fall on either side by rounding.
+            assert r["kept"] == (x <= limits[lang]) or x == pytest.approx(limits[lang], rel=1e-4)
+            assert r["limit_from"] == ("language" if len(trusted[lang]) >= kneser_ney.MIN_TRUSTED else "pooled")
+
+
 # Language identification
 
 
