@@ -163,8 +163,8 @@ def test_spread_equals_moving(spark, rows, monkeypatch):
     want = df.select("*", whole.mcount(), whole.mcount("v"), whole.msum("v"), whole.mavg("v"), whole.mmin("v"), whole.mmax("v"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     for n in (1, 2, 7, 90):
-        got = spread.moving(df, n, {"a": ("count", "v"), "b": ("sum", "v"), "c": ("max", "v"), "d": ("lag", "v")})
-        want = df.select("*", whole.mcount("v", n), whole.msum("v", n), whole.mmax("v", n), F.lag("v", n - 1).over(whole.spec))
+        got = spread.moving(df, n, {"a": ("count", "v"), "b": ("sum", "v"), "c": ("max", "v"), "d": ("lag", "v"), "e": ("sum", "v", (n + 1) // 2), "f": ("lag", "v", 1)})
+        want = df.select("*", whole.mcount("v", n), whole.msum("v", n), whole.mmax("v", n), F.lag("v", n - 1).over(whole.spec), whole.msum("v", (n + 1) // 2), F.col("v"))
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     ties = df.withColumn("u", F.floor(F.col("id") / 7))
     spec = Window.partitionBy("k").orderBy("u")
@@ -173,6 +173,8 @@ def test_spread_equals_moving(spark, rows, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     with pytest.raises(ValueError):
         Spread([], [], F.lit(0))
+    with pytest.raises(ValueError):
+        spread.moving(df, 3, {"a": ("sum", "v", 4)})
 
 
 def test_ntile(spark):

@@ -100,18 +100,25 @@ class Spread:
 
     def moving(self, df: DataFrame, n: int, wanted: dict[str, tuple]) -> DataFrame:
         """As ``running`` over the last ``n`` rows; (lag, column) is the value n - 1 rows
-        before. Rows are numbered and dealt in runs, each with the n - 1 rows before it."""
-        if n < 1:
-            raise ValueError("a moving window has at least one row")
+        before. A third entry, (sum, column, m), is a smaller window of its own. Rows are
+        numbered and dealt once, in runs, each with the n - 1 rows before it."""
+        wanted = {name: (kind, x, *own) if own else (kind, x, n) for name, (kind, x, *own) in wanted.items()}
+        if n < 1 or any(not 1 <= m <= n for _, _, m in wanted.values()):
+            raise ValueError("a moving window has at least one row, and none is wider than n")
         size = max(self.ROWS, n)
         at, run = F.col("_at") - 1, F.call_function("div", F.col("_at") - 1, F.lit(size))
         own, next_one = F.struct(run.alias("run"), F.lit(True).alias("own")), F.struct((run + 1).alias("run"), F.lit(False).alias("own"))
         dealt = F.when(at % size >= size - (n - 1), F.array(own, next_one)).otherwise(F.array(own))
         rows = self.numbered(df, "_at").withColumn("_to", F.explode(dealt))
         spec = Window.partitionBy(*self.partition, "_to.run").orderBy("_at")
-        frame = spec.rowsBetween(1 - n, Window.currentRow)
         made = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
-        out = [(F.lag(_col(x), n - 1).over(spec) if kind == "lag" else made[kind](F.lit(1) if x is None else _col(x)).over(frame)).alias(name) for name, (kind, x) in wanted.items()]
+
+        def over(kind, x, m):
+            if kind == "lag":
+                return F.lag(_col(x), m - 1).over(spec)
+            return made[kind](F.lit(1) if x is None else _col(x)).over(spec.rowsBetween(1 - m, Window.currentRow))
+
+        out = [over(*of).alias(name) for name, of in wanted.items()]
         return rows.select(*df.columns, "_to", *out).where("_to.own").drop("_to")
 
     def ranks(self, df: DataFrame) -> DataFrame:

@@ -334,8 +334,7 @@ def win_running(spark, sf_dir):
 @query(f"""SELECT event_id, round(sum(v) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 2) AS msum10,
 round(sum(v) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW), 2) AS msum64 FROM {NULLABLE}""")
 def win_msum_n(spark, sf_dir):
-    w = _by_type()
-    found = w.moving(w.moving(_nullable(spark, sf_dir), 10, {"msum10": ("sum", "v")}), 64, {"msum64": ("sum", "v")})
+    found = _by_type().moving(_nullable(spark, sf_dir), 64, {"msum10": ("sum", "v", 10), "msum64": ("sum", "v")})
     return found.select("event_id", F.round("msum10", 2).alias("msum10"), F.round("msum64", 2).alias("msum64"))
 
 
